@@ -41,3 +41,34 @@ def json_text(value: Column) -> Column:
 def literal_map(mapping: dict[str, Any]) -> Column:
     """A map column from a small fixed dictionary."""
     return F.create_map(*[F.lit(item) for pair in mapping.items() for item in pair])
+
+
+def variant_json(value: Column) -> Column:
+    """Any JSON text in one canonical form: compact, keys sorted at every depth. Null when it is no JSON.
+
+    Trailing zeros of a decimal fraction are not kept: ``30000.0`` reads ``30000``.
+    """
+    return F.to_json(F.try_parse_json(value))
+
+
+def json_member(value: Column, path: str) -> Column:
+    """JSON text of a member with its type kept; null for a missing member, JSON null and empty content."""
+    return variant_member(F.try_parse_json(value), path)
+
+
+def variant_member(variant: Column, path: str) -> Column:
+    """As :func:`json_member`, over JSON that was parsed once into a variant column."""
+    raw = F.to_json(F.try_variant_get(variant, path, "variant"))
+    return F.nullif(F.nullif(F.nullif(F.nullif(raw, F.lit("null")), F.lit('""')), F.lit("[]")), F.lit("{}"))
+
+
+def variant_text(variant: Column, path: str) -> Column:
+    """Trimmed text of a scalar member; null for a missing or empty one."""
+    return F.nullif(F.trim(F.try_variant_get(variant, path, "string")), F.lit(""))
+
+
+def json_object(members: dict[str, Column]) -> Column:
+    """Object of the non-null JSON members in key order; null when none is left."""
+    pieces = [F.concat(F.lit(f'"{name}":'), members[name]) for name in sorted(members)]
+    body = F.concat_ws(",", *pieces)
+    return F.when(body != "", F.concat(F.lit("{"), body, F.lit("}")))
