@@ -154,8 +154,10 @@ def snapshot_replay(spark: SparkSession, d: str) -> DataFrame:
 # --- claims ------------------------------------------------------------------------------------
 
 def base(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    pair = c.base_claims(b.entity(spark, d), rec.modules(spark, d), rec.financials(spark, d))
-    return stored(spark, d, "base-claims", lambda: pair[0]), stored(spark, d, "base-evidence", lambda: pair[1])
+    def part(index: int) -> DataFrame:
+        return c.base_claims(b.entity(spark, d), rec.modules(spark, d), rec.financials(spark, d))[index]
+
+    return stored(spark, d, "base-claims", lambda: part(0)), stored(spark, d, "base-evidence", lambda: part(1))
 
 
 def _registry_claims_sql() -> str:
@@ -308,6 +310,13 @@ def registry_workforce(spark: SparkSession, d: str) -> DataFrame:
 
 def all_claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Base, live, narrative, award and change claims in one pair of tables."""
+    def part(index: int) -> DataFrame:
+        return _all_claims(spark, d)[index]
+
+    return stored(spark, d, "claims", lambda: part(0)), stored(spark, d, "evidence", lambda: part(1))
+
+
+def _all_claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     modules = rec.modules(spark, d)
     claims, evidence = base(spark, d)
     for managed, pair in (
@@ -317,7 +326,7 @@ def all_claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         (F.col("field") == CHANGE_FIELD, change_claims(selected_changes(spark, d), b.RETRIEVED_AT, b.REGISTRY_URL)),
     ):
         claims, evidence = c.replace_managed(claims, evidence, managed, *pair)
-    return stored(spark, d, "claims", lambda: claims), stored(spark, d, "evidence", lambda: evidence)
+    return claims, evidence
 
 
 @check(
