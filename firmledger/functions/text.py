@@ -27,21 +27,18 @@ WORD_PATTERN = r"[\p{L}\p{N}_\-]+"
 
 
 def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
-    """One-to-one accent map and multi-letter replacements, derived from Unicode decompositions."""
+    """Accent map of lower-case letters and two-letter replacements, derived from Unicode decompositions."""
     source, target, multi = [], [], []
-    special = {"ø": "o", "Ø": "O", "å": "a", "Å": "A"}
+    special = {"ø": "o", "å": "a"}
     for code in range(0x00A0, 0x0250):
         char = chr(code)
-        if char in special:
-            plain = special[char]
-        elif char in "æÆ":
+        if char != char.lower() or char == "æ":
             continue
-        else:
-            plain = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
+        plain = special.get(char) or unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode().lower()
         if len(plain) == 1:
             source.append(char)
             target.append(plain)
-        elif len(plain) > 1 and not plain.isspace():
+        elif char.isalpha() and plain.isalpha():
             multi.append((char, plain))
     return "".join(source), "".join(target), multi
 
@@ -51,15 +48,11 @@ _ACCENTED, _PLAIN, _MULTI = _fold_tables()
 
 def fold(value: Column) -> Column:
     """Lower-case ASCII form: Nordic letters mapped, accents removed, the rest of non-ASCII dropped."""
-    text = F.coalesce(value.cast("string"), F.lit(""))
-    text = F.replace(F.replace(text, F.lit("æ"), F.lit("ae")), F.lit("Æ"), F.lit("AE"))
-    # Only rows that hold a non-ASCII character pay for the accent map.
-    accented = F.translate(text, _ACCENTED, _PLAIN)
-    for char, plain in _MULTI:
-        if char.isalpha() and plain.isalpha():
-            accented = F.replace(accented, F.lit(char), F.lit(plain))
-    accented = F.regexp_replace(accented, r"[^\x00-\x7F]", "")
-    return F.lower(F.when(text.rlike(r"[^\x00-\x7F]"), accented).otherwise(text))
+    text = F.lower(F.coalesce(value.cast("string"), F.lit("")))
+    plain = F.translate(F.replace(text, F.lit("æ"), F.lit("ae")), _ACCENTED, _PLAIN)
+    for char, letters in _MULTI:
+        plain = F.replace(plain, F.lit(char), F.lit(letters))
+    return F.regexp_replace(plain, r"[^\x00-\x7F]", "")
 
 
 def tokens(value: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import with_stage
 from .text import LEGAL_NAME_STOP, tokens
 
 # Social hosts, in the order they are tried.
@@ -144,16 +145,23 @@ def domain_of(url_or_domain: Column) -> Column:
     return F.coalesce(normalize_domain(F.when(F.instr(raw, "://") > 0, url_host(raw)).otherwise(raw)), F.lit(""))
 
 
-def social_profile(url: Column) -> Column:
-    """Struct(platform, url) of a canonical company profile, or null for shares, posts and other hosts."""
-    host = bare_host(url)
-    platform = F.lit(None).cast("string")
-    for domain, label in reversed(list(SOCIAL_HOSTS.items())):
-        platform = F.when((host == domain) | F.endswith(host, F.lit("." + domain)), F.lit(label)).otherwise(platform)
-    parts = F.filter(F.transform(F.split(url_path(url), "/"), F.trim), lambda part: part != "")
-    count = F.size(parts)
-    first = F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit(""))
-    lowered = F.lower(first)
+def with_social_profile(rows: DataFrame, url: Column, name: str = "profile") -> DataFrame:
+    """Add struct(platform, url) of the canonical company profile an address names.
+
+    The struct is null for shares, posts, events and other hosts. Host, parts and platform are columns of their own
+    on the way, so each is computed once per row.
+    """
+    rows = rows.withColumn("_url", url)
+    rows = rows.withColumn("_host", bare_host(F.col("_url"))).withColumn(
+        "_parts", F.filter(F.transform(F.split(url_path(F.col("_url")), "/"), F.trim), lambda part: part != "")
+    )
+    host, parts = F.col("_host"), F.col("_parts")
+    known = "|".join(domain.replace(".", r"\.") for domain in SOCIAL_HOSTS)
+    labels = F.create_map(*[F.lit(item) for pair in SOCIAL_HOSTS.items() for item in pair])
+    platform = labels[F.regexp_extract(host, rf"(?:^|\.)({known})$", 1)]
+    rows = with_stage(rows, "_platform", platform).withColumn("_first", F.coalesce(F.try_element_at("_parts", F.lit(1)), F.lit("")))
+    platform, first = F.col("_platform"), F.col("_first")
+    lowered, count = F.lower(first), F.size(parts)
     handle = F.startswith(first, F.lit("@"))
     rejected = F.lit(False)
     for label, names in SOCIAL_REJECTED_FIRST.items():
@@ -172,10 +180,11 @@ def social_profile(url: Column) -> Column:
         .otherwise(parts)
     )
     canonical = F.concat(F.lit("https://"), platform, F.lit(".com/"), F.array_join(kept, "/"))
-    return F.when(
+    profile = F.when(
         platform.isNotNull() & (count > 0) & ~rejected & allowed,
         F.struct(platform.alias("platform"), canonical.alias("url")),
     )
+    return with_stage(rows, name, profile).drop("_url", "_host", "_parts", "_platform", "_first")
 
 
 def detail_page(url: Column, generic_segments: tuple[str, ...], query_keys: tuple[str, ...] = ()) -> Column:

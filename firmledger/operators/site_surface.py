@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import json_value, material_id
+from ..functions.staging import with_stage
 from ..functions.text import squash, squash_lower, tokens
 from ..functions.values import clamped_score
 from ..functions.web import bare_host, hosts_related, is_http, normalize_homepage, path_segments, registered_domain, url_host, url_path
@@ -288,9 +289,8 @@ def safe_profile_url(platform: Column, url: Column) -> Column:
     return F.coalesce(is_http(url) & (bare_host(url) == expected) & (count > 0) & ~nested & shape, F.lit(False))
 
 
-def readable_handle(platform: Column, url: Column) -> Column:
-    """The readable name in a profile address; null for opaque numbers and channel ids."""
-    parts = F.filter(F.split(F.coalesce(F.try_url_decode(url_path(url)), url_path(url)), "/"), lambda part: F.trim(part) != "")
+def readable_handle(platform: Column, parts: Column) -> Column:
+    """The readable name in the path parts of a profile address; null for opaque numbers and channel ids."""
     first = F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit(""))
     second = F.try_element_at(parts, F.lit(2))
     bare = F.regexp_replace(first, "^@+", "")
@@ -304,17 +304,25 @@ def readable_handle(platform: Column, url: Column) -> Column:
     )
 
 
-def declaration_allowed(name: Column, site_url: Column, platform: Column, url: Column, handle_ok: Column) -> Column:
-    """A declared handle must fit the site or the legal name, unless its address holds no readable name."""
-    handle = readable_handle(platform, url)
-    compact = F.array_join(tokens(handle), "")
-    brand = F.array_join(tokens(F.element_at(F.split(bare_host(site_url), r"\."), 1)), "")
+def with_declaration_verdict(rows: DataFrame) -> DataFrame:
+    """Add ``declared_ok``: a handle must fit the site or the legal name, unless its address holds no readable name.
+
+    ``rows`` holds _name, final_url, platform, url and publishable (the verdict of the handle rules).
+    """
+    decoded = F.coalesce(F.try_url_decode(url_path(F.col("url"))), url_path(F.col("url")))
+    rows = rows.withColumn("_parts", F.filter(F.split(decoded, "/"), lambda part: F.trim(part) != ""))
+    rows = rows.withColumn("_handle", readable_handle(F.col("platform"), F.col("_parts")))
+    rows = rows.withColumn("_compact", F.array_join(tokens(F.col("_handle")), "")).withColumn(
+        "_brand", F.array_join(tokens(F.element_at(F.split(bare_host(F.col("final_url")), r"\."), 1)), "")
+    )
+    compact, brand = F.col("_compact"), F.col("_brand")
+    words = F.filter(tokens(F.col("_name")), lambda word: ~word.isin(*LEGAL_SUFFIXES) & (F.length(word) >= 4))
+    rows = rows.withColumn("_hits", F.filter(words, lambda word: F.contains(compact, word) | F.contains(word, compact)))
     site_fits = (F.length(brand) >= 4) & (F.contains(brand, compact) | F.contains(compact, brand))
-    words = F.filter(tokens(name), lambda word: ~word.isin(*LEGAL_SUFFIXES) & (F.length(word) >= 4))
-    hits = F.filter(words, lambda word: F.contains(compact, word) | F.contains(word, compact))
-    name_fits = (F.size(hits) >= 2) | ((F.size(hits) == 1) & (F.length(F.try_element_at(hits, F.lit(1))) >= 6))
+    name_fits = (F.size("_hits") >= 2) | ((F.size("_hits") == 1) & (F.length(F.try_element_at("_hits", F.lit(1))) >= 6))
     readable = (F.length(compact) >= 4) & (site_fits | F.coalesce(name_fits, F.lit(False)))
-    return F.coalesce(handle_ok, F.lit(False)) | handle.isNull() | F.coalesce(readable, F.lit(False))
+    verdict = F.coalesce("publishable", F.lit(False)) | F.col("_handle").isNull() | F.coalesce(readable, F.lit(False))
+    return with_stage(rows, "declared_ok", verdict).drop("_parts", "_handle", "_compact", "_brand", "_hits")
 
 
 def handle_observations(handles: DataFrame, entities: DataFrame, verified: DataFrame) -> DataFrame:
@@ -328,15 +336,15 @@ def handle_observations(handles: DataFrame, entities: DataFrame, verified: DataF
         handles.drop("retrieved_at")
         .join(sites, ["org", "final_url", "content_sha256"])
         .join(entities.select("org", F.col("name").alias("_name")), "org")
-        .filter(F.col("org").rlike("^[0-9]{9}$") & safe_profile_url(F.col("platform"), F.col("url")))
-    )
-    direct = (F.col("origin") == "link") & F.col("single_page") & declaration_allowed(
-        F.col("_name"), F.col("final_url"), F.col("platform"), F.col("url"), F.col("publishable")
+        .filter(F.col("org").rlike("^[0-9]{9}$"))
     )
+    rows = with_stage(rows, "_safe", safe_profile_url(F.col("platform"), F.col("url"))).filter("_safe")
+    rows = with_declaration_verdict(rows)
+    direct = (F.col("origin") == "link") & F.col("single_page") & F.col("declared_ok")
     gated = (F.col("origin") == "link") & F.col("single_page") & F.col("publishable")
     recovered = F.col("publishable")
     rank = F.when(direct, 0).when(gated, 1).when(recovered, 2)
-    rows = rows.withColumn("_rank", rank).filter(F.col("_rank").isNotNull())
+    rows = with_stage(rows, "_rank", rank).filter(F.col("_rank").isNotNull())
     first = _once(rows, ["org", "platform", "url"], F.struct("_rank", "final_url", "origin"))
     strategy = F.when(F.col("_rank") == 0, DECLARATION_STRATEGY).when(F.col("_rank") == 1, HANDLE_STRATEGY).otherwise(RECOVERY_STRATEGY)
     score = F.when(F.col("_rank") == 2, F.col("identity_score")).otherwise(clamped_score(F.col("_site_score"), 0.95))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.web import registered_domain, resolve_link, social_profile
+from ..functions.web import SOCIAL_HOSTS, registered_domain, resolve_link, with_social_profile
 
 _IDENTITY_PROPS = {"legalName", "address", "telephone", "email", "taxID", "vatID"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -196,7 +196,8 @@ def page_links(events: DataFrame) -> DataFrame:
     rows = events.filter(F.col("status") == "available").select(
         "org", "final_url", "content_sha256", "retrieved_at", "page_kind", F.explode("links").alias("link")
     )
-    absolute = resolve_link(F.col("final_url"), F.col("link.href"))
+    rows = rows.withColumn("_absolute", resolve_link(F.col("final_url"), F.col("link.href")))
+    absolute = F.col("_absolute")
     return rows.select(
         "org", "final_url", "content_sha256", "retrieved_at", "page_kind",
         F.col("link.position").alias("position"),
@@ -217,28 +218,19 @@ def _embedded_target(url: Column) -> Column:
 
 def social_links(events: DataFrame) -> DataFrame:
     """Distinct company profiles a page links to or names as ``sameAs``: (org, final_url, platform, url, origin)."""
-    linked = page_links(events).select(
-        "org", "final_url", "content_sha256", "retrieved_at", "page_kind", F.lit("link").alias("origin"),
-        social_profile(_embedded_target(F.col("url"))).alias("profile"),
-    )
-    same_as = events.filter(F.col("status") == "available").select(
-        "org", "final_url", "content_sha256", "retrieved_at", "page_kind", F.lit("same_as").alias("origin"),
-        F.explode("jsonld").alias("node"),
+    page = ("org", "final_url", "content_sha256", "retrieved_at", "page_kind")
+    linked = page_links(events).select(*page, F.lit("link").alias("origin"), _embedded_target(F.col("url")).alias("target"))
+    same_as = events.filter((F.col("status") == "available") & (F.size("jsonld") > 0)).select(
+        *page, F.lit("same_as").alias("origin"), F.explode("jsonld").alias("node")
     )
     # sameAs is one address or a list of them.
     raw = F.get_json_object("node", "$.sameAs")
     urls = F.when(F.startswith(raw, F.lit("[")), F.from_json(raw, "array<string>")).otherwise(F.array(raw))
-    named = same_as.select(
-        "org", "final_url", "content_sha256", "retrieved_at", "page_kind", "origin", F.explode(urls).alias("url")
-    ).select(
-        "org", "final_url", "content_sha256", "retrieved_at", "page_kind", "origin", social_profile(F.trim("url")).alias("profile")
-    )
-    return (
-        linked.unionByName(named)
-        .filter(F.col("profile").isNotNull())
-        .select("org", "final_url", "content_sha256", "retrieved_at", "page_kind", "origin", "profile.platform", "profile.url")
-        .distinct()
-    )
+    named = same_as.select(*page, "origin", F.explode(urls).alias("target")).withColumn("target", F.trim("target"))
+    # Only addresses that mention a social host at all go through the profile rules.
+    hosts = "|".join(host.replace(".", r"\.") for host in SOCIAL_HOSTS)
+    found = with_social_profile(linked.unionByName(named).filter(F.col("target").rlike(hosts)), F.col("target"))
+    return found.filter(F.col("profile").isNotNull()).select(*page, "origin", "profile.platform", "profile.url").distinct()
 
 
 def structured_names(jsonld: Column) -> Column:
