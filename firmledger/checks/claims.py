@@ -319,13 +319,13 @@ def all_claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def _all_claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     modules = rec.modules(spark, d)
     claims, evidence = base(spark, d)
-    for managed, pair in (
+    families = [
         (c.owns_live_claim(), c.live_registry_claims(modules)),
         (c.owns_narrative_claim(), c.narrative_claims(claims, modules)),
         (F.col("field") == AWARD_FIELD, award_claims(selected_awards(spark, d), b.RETRIEVED_AT)),
         (F.col("field") == CHANGE_FIELD, change_claims(selected_changes(spark, d), b.RETRIEVED_AT, b.REGISTRY_URL)),
-    ):
-        claims, evidence = c.replace_managed(claims, evidence, managed, *pair)
+    ]
+    claims, evidence = c.replace_families(claims, evidence, families)
     return claims, evidence
 
 

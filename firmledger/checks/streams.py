@@ -1 +1,83 @@
-"""Checks."""
+"""Streaming checks: each job runs over the event table as a stream and is compared with plain SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import fresh_folder
+from ..streaming import jobs
+from . import bindings as b
+from .registry import check
+
+
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = b.table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return stream.select(
+        b.org_of("user_id").alias("org"), F.col("event_id").cast("string").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"),
+        "event_type", F.get_json_object("props", "$.k").alias("k"),
+    )
+
+
+@check(
+    "T1_deduplicated_stream",
+    sql="SELECT CAST(800000000 + user_id AS VARCHAR) AS org, CAST(event_id AS VARCHAR) AS event_id FROM events",
+)
+def deduplicated_stream(spark: SparkSession, d: str) -> DataFrame:
+    events = event_stream(spark, d).select("org", "event_id", F.col("ts").alias("dato"))
+    # Every event is delivered twice.
+    twice = events.select("org", "event_id", "dato", F.explode(F.array(F.lit(0), F.lit(1))).alias("delivery"))
+    rows = jobs.run_available(jobs.deduplicated_events(twice), "dedup")
+    return rows.select("org", "event_id")
+
+
+@check(
+    "T2_newest_events_stream",
+    sql="""SELECT org, event_id FROM (SELECT CAST(800000000 + user_id AS VARCHAR) AS org, CAST(event_id AS VARCHAR) AS event_id,
+        row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%dT%H:%M:%SZ') DESC, CAST(event_id AS VARCHAR) DESC) AS rn FROM events)
+      WHERE rn <= 3""",
+)
+def newest_events_stream(spark: SparkSession, d: str) -> DataFrame:
+    events = event_stream(spark, d).select(
+        "org", "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("effective_at"), F.col("event_type").alias("summary")
+    )
+    return jobs.run_available(jobs.newest_events(events), "newest", mode="update").select("org", "event_id")
+
+
+@check(
+    "T3_refresh_stream",
+    sql="""WITH first_part AS (SELECT user_id, event_type, max_by(json_extract_string(props, '$.k'), ts) AS v FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1, 2),
+        second_part AS (SELECT user_id, event_type, max_by(json_extract_string(props, '$.k'), ts) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1, 2)
+      SELECT CAST(800000000 + f.user_id AS VARCHAR) AS org, f.event_type AS field, f.v AS previous_value, s.v AS current_value
+      FROM first_part f JOIN second_part s ON f.user_id = s.user_id AND f.event_type = s.event_type WHERE f.v <> s.v""",
+)
+def refresh_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Two snapshots arrive as two files: the first half of the month, then the rest."""
+    folder = fresh_folder(spark, "snapshots")
+    halves = b.table(spark, d, "events")
+    early = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
+    for part in (halves.filter(early), halves.filter(~early)):
+        part.select(
+            b.org_of("user_id").alias("org"), F.col("event_type").alias("field"), F.get_json_object("props", "$.k").alias("value"),
+            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("retrieved_at"),
+        ).coalesce(1).write.mode("append").parquet(folder)
+    stream = (
+        spark.readStream.schema("org string, field string, value string, retrieved_at string")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(folder)
+    )
+    return jobs.run_available(jobs.refresh_changes(stream), "refresh").select("org", "field", "previous_value", "current_value")
+
+
+@check(
+    "T4_daily_ledger_stream",
+    sql="""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS platform, 'ok' AS status, count(*) AS events FROM events
+      GROUP BY 1, 2""",
+)
+def daily_ledger_stream(spark: SparkSession, d: str) -> DataFrame:
+    events = event_stream(spark, d).select(
+        F.col("ts").alias("retrieved_at"), F.col("event_type").alias("platform"), F.lit("ok").alias("status")
+    )
+    rows = jobs.run_available(jobs.daily_ledger(events), "ledger", mode="complete")
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "platform", "status", "events")

@@ -153,7 +153,7 @@ def with_social_profile(rows: DataFrame, url: Column, name: str = "profile") ->
     """
     rows = rows.withColumn("_url", url)
     rows = rows.withColumn("_host", bare_host(F.col("_url"))).withColumn(
-        "_parts", F.filter(F.transform(F.split(url_path(F.col("_url")), "/"), F.trim), lambda part: part != "")
+        "_parts", F.filter(F.transform(F.split(url_path(F.col("_url")), "/"), lambda item: F.trim(item)), lambda part: part != "")
     )
     host, parts = F.col("_host"), F.col("_parts")
     known = "|".join(domain.replace(".", r"\.") for domain in SOCIAL_HOSTS)

@@ -324,7 +324,7 @@ def precision_guard(claims: DataFrame, evidence: DataFrame) -> tuple[DataFrame,
     Kept claims and evidence are never changed; evidence that was referenced by nobody stays.
     """
     url = F.coalesce(F.trim(F.get_json_object("value", "$.url")), F.lit(""))
-    segments = F.filter(F.transform(F.split(decoded_path(url), "/"), F.trim), lambda part: part != "")
+    segments = F.filter(F.transform(F.split(decoded_path(url), "/"), lambda item: F.trim(item)), lambda part: part != "")
     outside = F.exists(segments, lambda part: part.isin(*NON_ACTIVITY_SEGMENTS))
     anchor = squash(F.get_json_object("value", "$.anchor_text"))
     path_words = F.regexp_replace(decoded_path(url), r"[-_/]+", " ")

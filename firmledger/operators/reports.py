@@ -113,19 +113,18 @@ def report_number(raw: Column) -> Column:
 
 def workforce_candidates(text: Column) -> Column:
     """All workforce numbers of a report text as (priority, value, span, measure); lines about a group do not count."""
-    found = []
-    for priority, measure, pattern in WORKFORCE_PATTERNS:
-        found.append(
-            F.transform(
-                _occurrences(text, pattern),
-                lambda hit, p=pattern, r=priority, m=measure: F.struct(
-                    F.lit(r).alias("priority"),
-                    report_number(F.regexp_extract(hit["written"], p, 1)).alias("value"),
-                    _line_of(text, hit["start"], F.length(hit["written"])).alias("span"),
-                    F.lit(m).alias("measure"),
-                ),
-            )
+    def numbered(priority: int, measure: str, pattern: str) -> Column:
+        return F.transform(
+            _occurrences(text, pattern),
+            lambda hit: F.struct(
+                F.lit(priority).alias("priority"),
+                report_number(F.regexp_extract(hit["written"], pattern, 1)).alias("value"),
+                _line_of(text, hit["start"], F.length(hit["written"])).alias("span"),
+                F.lit(measure).alias("measure"),
+            ),
         )
+
+    found = [numbered(*rule) for rule in WORKFORCE_PATTERNS]
     words = F.create_map(*[F.lit(item) for pair in WORD_COUNTS.items() for item in (pair[0], float(pair[1]))])
     found.append(
         F.transform(

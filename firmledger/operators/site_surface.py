@@ -269,7 +269,7 @@ def safe_profile_url(platform: Column, url: Column) -> Column:
     for name, host in SOCIAL_HANDLE_HOSTS.items():
         expected = F.when(platform == name, F.lit(host)).otherwise(expected)
     raw = F.coalesce(F.try_url_decode(url_path(url)), url_path(url))
-    parts = F.filter(F.transform(F.split(raw, "/"), F.trim), lambda part: part != "")
+    parts = F.filter(F.transform(F.split(raw, "/"), lambda item: F.trim(item)), lambda part: part != "")
     count = F.size(parts)
     first = F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit(""))
     low = F.lower(first)

@@ -57,8 +57,7 @@ def company_output(inputs: CompanyInputs, retrieved_at: str, change_url: str, re
         steps.append((F.col("field") == activity.CAREERS_FIELD, inputs.careers))
     if inputs.activity is not None:
         steps.append((F.col("field").isin(activity.JOB_FIELD, activity.UPDATE_FIELD), inputs.activity))
-    for managed, pair in steps:
-        current, evidence = claims.replace_managed(current, evidence, managed, *pair)
+    current, evidence = claims.replace_families(current, evidence, steps)
     current, evidence = activity.precision_guard(current, evidence)
     # Facts, briefs and violations all read these two tables: cut the lineage here once.
     current, evidence = checkpoint(current), checkpoint(evidence)
