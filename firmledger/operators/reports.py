@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import json_value, material_id
 from ..functions.orgnum import digits
+from ..functions.staging import with_stage
 from ..functions.text import squash
 from ..model import CLAIM, EVIDENCE, OBSERVATION, conform
 
@@ -145,15 +146,19 @@ def workforce_candidates(text: Column) -> Column:
             ),
         )
     )
-    return F.filter(F.concat(*found), lambda item: item["value"].isNotNull() & ~item["span"].rlike(GROUP_WORDS))
+    usable = F.filter(F.concat(*found), lambda item: item["value"].isNotNull() & ~item["span"].rlike(GROUP_WORDS))
+    # Every pattern holds one of these words, so all other texts are done after one cheap search.
+    speaks = text.rlike(r"(?iu)ansatte|aarsverk|arsverk|årsverk")
+    none = F.array().cast("array<struct<priority:int,value:double,span:string,measure:string>>")
+    return F.when(speaks, usable).otherwise(none)
 
 
 def extract_workforce(reports: DataFrame) -> DataFrame:
     """Reports with the strongest workforce number, or the reason for abstaining. Input column: text."""
     body = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\t\r ]+", " ")
-    rows = reports.withColumn("_body", body).withColumn("_all", workforce_candidates(F.col("_body")))
+    rows = with_stage(with_stage(reports, "_body", body), "_all", workforce_candidates(F.col("_body")))
     best = F.array_min(F.transform("_all", lambda item: item["priority"]))
-    rows = rows.withColumn("_best", F.filter("_all", lambda item: item["priority"] == best))
+    rows = with_stage(rows, "_best", F.filter("_all", lambda item: item["priority"] == best))
     values = F.array_distinct(F.transform("_best", lambda item: item["value"]))
     full_time = F.filter("_best", lambda item: item["measure"] == "full_time_equivalents")
     chosen = F.coalesce(F.try_element_at(full_time, F.lit(1)), F.try_element_at("_best", F.lit(1)))
@@ -190,7 +195,7 @@ def extract_description(reports: DataFrame) -> DataFrame:
     """Reports with the business description of the company itself, or the reason for abstaining."""
     body = F.regexp_replace(F.coalesce("text", F.lit("")), r"\r", "\n")
     body = F.trim(F.regexp_replace(F.regexp_replace(body, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
-    rows = reports.withColumn("_body", body)
+    rows = with_stage(reports, "_body", body)
     starts = F.flatten(
         F.array(
             *[
@@ -217,7 +222,7 @@ def extract_description(reports: DataFrame) -> DataFrame:
     ordered = F.array_sort(
         F.transform(usable, lambda text: F.struct((F.length(text) > 450).alias("long"), F.length(text).alias("n"), text.alias("text")))
     )
-    rows = rows.withColumn("description", F.try_element_at(ordered, F.lit(1))["text"])
+    rows = with_stage(rows, "description", F.try_element_at(ordered, F.lit(1))["text"])
     status = (
         F.when(F.col("_body") == "", F.lit("empty_text"))
         .when(F.col("description").isNull(), F.lit("no_company_activity_section"))
