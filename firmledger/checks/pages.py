@@ -514,6 +514,33 @@ def vacancy_counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter(F.col("vacancies") > 0)
 
 
+@check(
+    "P10_job_cards",
+    sql=b.with_ctes(
+        PAGE_SQL,
+        """SELECT org, 'dated_role_card' AS method, concat(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*'), '/stillinger/selger-', k) AS role_url, '01.03.2024' AS deadline_raw FROM p
+          UNION ALL SELECT org, 'jsonld_job_posting', concat('https://jobb.no/', k), '2024-03-01' FROM p WHERE k % 2 = 0""",
+    ),
+)
+def job_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Careers pages around the table's own pages: one dated card, one undated card, and a posting on every second page."""
+    number = _key().cast("string")
+    posting = F.when(
+        F.pmod(_key(), F.lit(2)) == 0,
+        F.concat(
+            F.lit('<script type="application/ld+json">{"@type":"JobPosting","title":"Selger i butikk","validThrough":"2024-03-01","url":"https://jobb.no/'),
+            number, F.lit('","hiringOrganization":{"name":"Kunde"}}</script>'),
+        ),
+    ).otherwise(F.lit(""))
+    body = F.concat(
+        F.lit("<html><body>"), posting, F.lit('<ul><li><a href="/stillinger/selger-'), number,
+        F.lit('">Selger til lager</a> Frist 01.03.2024</li><li><a href="/stillinger/uten-dato">Leder uten dato</a></li>'),
+        F.lit('<li><a href="/stillinger">Ledige stillinger</a> 01.03.2024</li></ul></body></html>'),
+    )
+    found = src.page_events(page_snapshots(spark, d).withColumn("html", body).withColumn("status_code", F.lit(200)))
+    return site.job_cards(src.page_links(found), found).select("org", "method", "role_url", "deadline_raw")
+
+
 @check(
     "U7_missing_seed_events",
     sql=b.with_ctes(PAGE_SQL, "SELECT org, concat('https://', host, '/') AS requested_url, 'source_error' AS status FROM p WHERE k % 5 = 4"),

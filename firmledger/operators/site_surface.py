@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import json_value, material_id
 from ..functions.staging import with_stage
-from ..functions.text import squash, squash_lower, tokens
+from ..functions.text import squash, squash_lower, tokens, word_count
 from ..functions.values import clamped_score
-from ..functions.web import bare_host, hosts_related, is_http, normalize_homepage, path_segments, registered_domain, url_host, url_path
+from ..functions.web import (
+    bare_host, hosts_related, is_http, normalize_homepage, path_segments, registered_domain, resolve_link, url_host, url_path,
+)
 from ..model import CLAIM, EVIDENCE, OBSERVATION, conform
 
 # Link terms in order of interest.
@@ -445,6 +447,61 @@ def vacancy_count(text: Column) -> Column:
     return F.coalesce(F.array_max(counts), F.lit(0))
 
 
+CARD_DATE = r"\b((?:20\d{2}-[01]?\d-[0-3]?\d|[0-3]?\d[./-][01]?\d[./-](?:20)?\d{2}))\b"
+CAREER_SEGMENTS = (
+    "career", "careers", "karriere", "jobb", "jobber", "jobs", "stilling", "stillinger", "ledige-stillinger", "vacancy", "vacancies",
+)
+GENERIC_ROLE_ANCHORS = (
+    "jobb", "jobber", "jobs", "karriere", "career", "careers", "ledige stillinger", "stillinger", "vacancies", "vacancy", "les mer",
+    "read more", "se mer",
+)
+
+
+def _role_title(title: Column) -> Column:
+    bare = F.regexp_replace(squash_lower(title), r"^[ \-|:]+|[ \-|:]+$", "")
+    words = word_count(title)
+    return (bare != "") & ~bare.isin(*GENERIC_ROLE_ANCHORS) & ((words >= 2) | ((words == 1) & (F.length(bare) >= 5)))
+
+
+def job_cards(links: DataFrame, events: DataFrame, limit: int = 12) -> DataFrame:
+    """Role cards of a page: JSON-LD postings first, then dated cards around a role link; at most ``limit`` per page.
+
+    A link on the company's own host must lead below a careers section. Publication needs the current-jobs rules.
+    """
+    segments = path_segments(F.col("url"))
+    marked = F.transform(segments, lambda part, index: F.when(part.isin(*CAREER_SEGMENTS), index).otherwise(F.lit(-1)))
+    last = F.array_max(marked)
+    below = F.coalesce((last >= 0) & (last < F.size(segments) - 1), F.lit(False))
+    own = hosts_related(bare_host(F.col("url")), bare_host(F.col("final_url")))
+    title = squash(F.col("anchor_text"))
+    context = F.when(title.rlike(CARD_DATE), title).otherwise(squash(F.col("card_text")))
+    cards = links.filter(is_http(F.col("url"))).select(
+        "org", "final_url", "content_sha256", "retrieved_at", title.alias("title"), F.col("url").alias("role_url"),
+        F.regexp_extract(context, CARD_DATE, 1).alias("deadline_raw"), context.alias("employer_context"),
+        F.lit("").alias("hiring_organisation"), F.lit("dated_role_card").alias("method"), F.col("position").alias("_at"),
+        (~own | below).alias("_place"),
+    )
+    cards = cards.filter(
+        F.col("_place") & (F.col("deadline_raw") != "") & (F.length("employer_context") <= 900) & _role_title(F.col("title"))
+    ).drop("_place")
+    posting = events.filter(F.size("job_postings") > 0).select(
+        "org", "final_url", "content_sha256", "retrieved_at", F.posexplode("job_postings").alias("_i", "node")
+    )
+
+    def member(path: str) -> Column:
+        return squash(F.get_json_object("node", path))
+
+    structured = posting.select(
+        "org", "final_url", "content_sha256", "retrieved_at", member("$.title").alias("title"),
+        resolve_link(F.col("final_url"), member("$.url")).alias("role_url"), member("$.validThrough").alias("deadline_raw"),
+        member("$.hiringOrganization.name").alias("employer_context"), member("$.hiringOrganization.name").alias("hiring_organisation"),
+        F.lit("jsonld_job_posting").alias("method"), (F.col("_i") - 1_000_000).alias("_at"),
+    ).filter(_role_title(F.col("title")) & (F.col("deadline_raw") != "") & is_http(F.col("role_url")))
+    rows = structured.unionByName(cards)
+    first = _once(rows.withColumn("_key", F.lower("title")), ["org", "final_url", "_key", "role_url"], F.col("_at"))
+    return _leading(first.drop("_key"), ["org", "final_url"], [F.col("_at")], limit).withColumn("application_url", F.col("role_url"))
+
+
 # --- A20, U7: crawl ledger -----------------------------------------------------------------------------------
 
 def missing_seed_events(entities: DataFrame, events: DataFrame) -> DataFrame:

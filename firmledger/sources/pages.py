@@ -31,7 +31,8 @@ _LINK = T.StructType(
 )
 _PARSED = T.StructType(
     [T.StructField(name, T.StringType()) for name in ("title", "description", "main_text", "identity_text")]
-    + [T.StructField("links", T.ArrayType(_LINK)), T.StructField("jsonld", T.ArrayType(T.StringType()))]
+    + [T.StructField("links", T.ArrayType(_LINK))]
+    + [T.StructField(name, T.ArrayType(T.StringType())) for name in ("jsonld", "job_postings")]
 )
 
 
@@ -120,11 +121,14 @@ class _PageParser(HTMLParser):
                 }
             )
         organisations: list[str] = []
+        postings: list[str] = []
         for block in self.jsonld:
             try:
-                _walk_organisations(json.loads(block), organisations)
+                node = json.loads(block)
             except ValueError:
                 continue
+            _walk_typed(node, _ORGANISATION_TYPES, organisations)
+            _walk_typed(node, {"JobPosting"}, postings)
         return {
             "title": self.title,
             "description": self.description,
@@ -132,20 +136,22 @@ class _PageParser(HTMLParser):
             "identity_text": " ".join(self.identity),
             "links": links,
             "jsonld": organisations,
+            "job_postings": postings,
         }
 
 
-def _walk_organisations(node: object, found: list[str]) -> None:
+def _walk_typed(node: object, wanted: set[str], found: list[str]) -> None:
+    """Nodes of the wanted types at any depth, as canonical JSON."""
     if isinstance(node, dict):
         kind = node.get("@type")
         kinds = {str(item) for item in (kind if isinstance(kind, list) else [kind])}
-        if kinds & _ORGANISATION_TYPES:
+        if kinds & wanted:
             found.append(json.dumps(node, ensure_ascii=False, sort_keys=True))
         for child in node.values():
-            _walk_organisations(child, found)
+            _walk_typed(child, wanted, found)
     elif isinstance(node, list):
         for child in node:
-            _walk_organisations(child, found)
+            _walk_typed(child, wanted, found)
 
 
 def _parse(html: str | None) -> dict:
@@ -180,7 +186,7 @@ def page_events(snapshots: DataFrame) -> DataFrame:
     names = [field.name for field in kept]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        empty = {"title": None, "description": None, "main_text": None, "identity_text": None, "links": [], "jsonld": []}
+        empty = {"title": None, "description": None, "main_text": None, "identity_text": None, "links": [], "jsonld": [], "job_postings": []}
         for batch in batches:
             rows = [
                 _parse(html) if status == "available" else empty for html, status in zip(batch["html"], batch["status"], strict=True)
