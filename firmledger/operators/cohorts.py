@@ -174,7 +174,7 @@ def entity_stratum(rows: DataFrame) -> Column:
 def stress_sample(entities: DataFrame, count: int, seed: int = 20260822) -> DataFrame:
     """70 % population sample plus a stress sample with a minimum per stratum.
 
-    The reference draws both with a sequential random generator; here every draw is a seeded hash rank,
+    Every draw is a seeded hash rank instead of a sequential random generator,
     which does not depend on the input order.
     """
     population_count = half_even(count * 0.7)
