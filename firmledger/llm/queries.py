@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import benchmark_leaks
 from .encode import vocabulary
 from .near_dups import near_duplicates
 from .packing import pack
@@ -14,10 +15,16 @@ from .quality_gbt import quality_scores
 from .quality_rules import quality_rules
 from .token_histogram import token_histogram
 from .token_records import token_records
+from .warc import warc_round_trip
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through monolithic archives, one member per record, and back."""
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and Jensen-Shannon verdict of all documents."""
     return quality_rules(table(spark, sf_dir, "documents"))
@@ -33,6 +40,11 @@ def op5_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark leaks of all documents."""
+    return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_gradient_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from the labels outside the held-out fold."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
