@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import benchmark_leaks
 from .encode import vocabulary
+from .licenses import license_notices
+from .licenses import oracle_sql as license_sql
 from .near_dups import near_duplicates
 from .packing import pack
 from .quality_gbt import quality_scores
 from .quality_rules import quality_rules
 from .token_histogram import token_histogram
 from .token_records import token_records
+from .tool_calls import ORACLE_SQL as CALLS_SQL
+from .tool_calls import linked_conversations
 from .warc import warc_round_trip
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -30,6 +34,11 @@ def op2_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents."""
+    return license_notices(table(spark, sf_dir, "documents"))
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents in framed record files, read back."""
     return token_records(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
@@ -50,6 +59,11 @@ def op7_gradient_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and results that all conversations stand for, linked and serialised."""
+    return linked_conversations(table(spark, sf_dir, "conversations")).drop("problems")
+
+
 def op9_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length histogram of all documents with suffix sums for every context limit."""
     return token_histogram(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
@@ -66,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def sql() -> dict[str, str]:
-    return {}
+    return {"op3_license_notices": license_sql(), "op8_tool_call_linking": CALLS_SQL}
