@@ -9,12 +9,13 @@ document. Bands of registers then propose pairs, and exact Jaccard similarity of
 Equal word sequences are one node, so thousands of copies cost one row. Inside a band bucket nodes are held against leaders,
 not against each other:
 
-1. Every node is verified against the smallest node of its buckets, once for each different leader.
-2. Connected components of the verified links are found by label propagation over written tables.
-3. A bucket whose members still lie in different components gets new leaders, twice as many each round; a former leader has
-   been held against all others and leaves the bucket. Rounds end when no bucket can hide a link: every bucket lies in one
-   component or has run out of members. So no pair of a bucket is lost, and all pairs of a bucket are met only if none of
-   them is linked.
+1. Every node is verified against one leader, the heaviest node of all its buckets (see ``linked``). Connected components of the verified links
+   are found by label propagation over written tables.
+2. Buckets whose members lie in several components stay open. Twice their members are held against the heaviest member outside
+   the bucket's largest component; components are renewed each time, and most buckets close.
+3. What is still open is settled exactly: the members outside a bucket's largest component are held against the members of
+   all other components of the bucket, unless a bound rules the link out: two members share at most the shingles that each
+   has in common with any other member. After that no pair of a bucket can be a link that was missed.
 
 Texts of fewer than five words have one shingle, all their words. Null texts and texts without words are classes of their own
 (never linked). class_id is the smallest doc_id of the class, null ids counting only where no other exists. Repeated rows
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, word_key, words
@@ -149,41 +150,90 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose shingle sets have a Jaccard similarity of at least ``SIMILAR``."""
+def verified(pairs: DataFrame, shingles: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Pairs (a, b) whose shingle sets have a Jaccard similarity of at least ``least``."""
     left, right = (shingles.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
     rows = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return rows.where(shared >= SIMILAR * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    return rows.where(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
 def linked(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Component label of every node that has a link: id, label."""
     every = nodes.select("id", F.explode("bands").alias("bucket"))
-    heads = every.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = cut(every.join(heads, "bucket"), "buckets")
+    counts = every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    rows = cut(every.join(counts, "bucket"), "buckets")
+    # A node's weight is how many nodes its buckets hold: the text that a group was copied from outweighs its copies.
+    weights = rows.groupBy("id").agg(F.sum("n").alias("weight"))
+    rows = cut(rows.drop("n").join(weights, "id"), "weighed-buckets")
+    heads = rows.groupBy("bucket").agg(F.max_by("id", F.struct("weight", "id")).alias("a"), F.max("weight").alias("top"))
+    rows = cut(rows.join(heads, "bucket"), "led-buckets")
     members = rows.select("id").distinct().join(nodes.select("id", "key"), "id")
     candidates = texts.join(members, "key").groupBy("id").agg(F.first("text").alias("text"))
     shingles = cut(with_shingles(candidates), "shingles")
-    # First each node against one leader, the smallest of all its buckets: most classes are whole after that.
-    pairs = rows.groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).where("a < b")
+    # First each node against one leader, the heaviest of all its buckets: most classes are whole after that.
+    pairs = rows.groupBy("id").agg(F.max_by("a", F.struct("top", "a")).alias("head")).where("id <> head")
+    pairs = pairs.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
     links = cut(verified(pairs, shingles), "links")
-    labels, rows, leaders = components(links), rows.drop("a"), 1
-    while True:
-        named = rows.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-        several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        named = cut(named.join(several.select("bucket"), "bucket"), "open-buckets")
-        if named.isEmpty():
+    labels, rows = components(links), rows.select("bucket", "id", "weight")
+    for _ in range(2):
+        open_ = open_buckets(rows, labels)
+        if open_.isEmpty():
             return labels
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-        heads = cut(named.withColumn("place", place).where(F.col("place") <= leaders), "heads")
-        heads = heads.select("bucket", F.col("id").alias("head"), F.col("label").alias("other"))
-        pairs = named.join(heads, "bucket").where("label <> other")
-        pairs = pairs.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
-        links = cut(links.union(verified(pairs, shingles)), "links")
-        labels = components(links)
-        rows = named.join(heads.select("bucket", F.col("head").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")
-        leaders *= 2
+        heads = _outside(open_).groupBy("bucket").agg(F.max_by("head", F.struct("weight", "head")).alias("head"), F.max_by("other", F.struct("weight", "head")).alias("other"))
+        links, labels = more_links(open_, heads, shingles, links)
+        rows = open_
+    open_ = open_buckets(rows, labels)
+    if open_.isEmpty():
+        return labels
+    rich = able(open_, shingles)
+    open_ = cut(open_.join(rich, "id"), "able-members")
+    return more_links(open_, _outside(open_), shingles, links)[1]
+
+
+def able(rows: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Members that can have a link at all: id, size, common.
+
+    ``common`` counts the shingles that any other member has too. No two members share more than the smaller of their
+    ``common``, which bounds their similarity from above.
+    """
+    own = rows.select("id").distinct().join(shingles, "id").select("id", F.size("shingles").alias("size"), "shingles")
+    each = cut(own.select("id", "size", F.explode("shingles").alias("shingle")), "member-shingles")
+    several = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
+    found = each.join(several, "shingle").groupBy("id").agg(F.first("size").alias("size"), F.count("*").alias("common"))
+    return found.where(F.col("common") >= SIMILAR * F.col("size"))
+
+
+def _outside(rows: DataFrame) -> DataFrame:
+    """Members outside the largest component of their bucket: bucket, head, other, weight."""
+    sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+    more = [F.col(c).alias(f"head_{c}") for c in ("size", "common") if c in rows.columns]
+    rows = rows.join(largest, "bucket").where("label <> largest")
+    return rows.select("bucket", F.col("id").alias("head"), F.col("label").alias("other"), "weight", *more)
+
+
+def open_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that lie in several components: bucket, id, weight, label."""
+    named = rows.select("bucket", "id", "weight").join(labels, "id", "left").select("bucket", "id", "weight", F.coalesce("label", "id").alias("label"))
+    several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return cut(named.join(several.select("bucket"), "bucket"), "open-buckets")
+
+
+def more_links(rows: DataFrame, heads: DataFrame, shingles: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verify members against the heads of their bucket in other components; return all links and the new labels."""
+    possible = F.col("label") != F.col("other")
+    if "common" in rows.columns:
+        most = F.least("common", "head_common")
+        possible &= most >= SIMILAR * (F.col("size") + F.col("head_size") - most)
+    pairs = rows.drop("weight").join(heads, "bucket").where(possible)
+    pairs = pairs.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+    if "common" in rows.columns:
+        # Half the bytes per pair: hashes cut to 32 bits, a little below the limit, leave few pairs for the whole ones.
+        small = shingles.select("id", F.transform("shingles", lambda s: s.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("shingles"))
+        pairs = cut(verified(pairs, small, SIMILAR - 0.01), "likely-pairs")
+    links = cut(links.union(verified(pairs, shingles)), "links")
+    return links, components(links)
 
 
 def classes(docs: DataFrame) -> DataFrame:
