@@ -6,7 +6,7 @@ of a document with those of its language, by Jensen-Shannon distance (base 2, so
 - character classes of the words: lower case and all else, upper case, digits, sentence signs, markup signs;
 - common words of the language, everything else being one more bin. Words are looked up as written.
 
-The references are sums over all documents of the language, found in a first pass; a language without a common-word list uses
+The references are means over all documents of the language, found in a first pass; a language without a common-word list uses
 one shared reference, so there are at most as many references as lists and one, and they are broadcast. Short documents say
 too little: below ``MIN_CHARS`` or ``MIN_WORDS`` the respective distance is not judged, and above that the limit narrows with
 the length.
@@ -77,11 +77,16 @@ def with_histograms(docs: DataFrame) -> DataFrame:
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """Sums of both histograms over all documents of each listed language, and of the rest together: a handful of rows."""
-    rows = with_histograms(docs.select("text", "lang"))
-    sums = {f"c{k}": F.sum(F.col("_chars")[k]) for k in range(5)} | {f"w{k}": F.sum(F.col("_common")[k]) for k in range(_BINS)}
-    sums = rows.groupBy("_lang").agg(*[value.alias(name) for name, value in sums.items()])
-    return sums.select(
+    """Mean histograms of all documents of each listed language, and of the rest together: a handful of rows.
+
+    Every document that is long enough to be judged weighs the same, so a very long one does not set the standard.
+    """
+    rows = with_histograms(docs.select("text", "lang")).withColumn("_n", F.size("_words"))
+    rows = rows.where((F.col("word_chars") >= MIN_CHARS) & (F.col("_n") >= MIN_WORDS))
+    means = {f"c{k}": F.avg(F.col("_chars")[k] / F.col("word_chars")) for k in range(5)}
+    means |= {f"w{k}": F.avg(F.col("_common")[k] / F.col("_n")) for k in range(_BINS)}
+    means = rows.groupBy("_lang").agg(*[value.alias(name) for name, value in means.items()])
+    return means.select(
         "_lang",
         F.array(*[f"c{k}" for k in range(5)]).alias("_ref_chars"),
         F.array(*[f"w{k}" for k in range(_BINS)]).alias("_ref_common"),
