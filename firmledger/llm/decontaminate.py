@@ -42,18 +42,19 @@ _MARK = "\u0001"
 
 def tokens(rows: DataFrame) -> DataFrame:
     """Replace ``text`` by ``tokens``: a hash per token whose two low bits name its kind (literal, number, name, unit)."""
-    text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), _MARK, " ")
-    marked = F.regexp_replace(text, r"([\p{Ll}\p{Nd},;]) +(?=\p{Lu}\p{Ll})", f"$1 {_MARK}")
-    rows = rows.withColumn("_tokens", F.array_remove(F.split(marked, rf"[^\p{{L}}\p{{M}}\p{{N}}{_MARK}]+"), ""))
+    text = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit(_MARK), F.lit(" "))
+    # Begins at a space, so few places are looked at; up to eight spaces may stand before a name.
+    marked = F.regexp_replace(text, r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{Nd},;] {1,8})", f" {_MARK}")
+    rows = rows.withColumn("_tokens", F.array_remove(F.split(F.lower(marked), rf"[^\p{{L}}\p{{M}}\p{{N}}{_MARK}]+"), ""))
     units = F.array(*map(F.lit, UNITS))
 
     def kind(token, at):
         # Digits sort before letters and the mark before digits, so comparing strings tells the kinds.
         before = F.get("_tokens", at - 1)
-        unit = (at > 0) & (before < ":") & (before > "\u0002") & F.array_contains(units, F.lower(token))
+        unit = (at > 0) & (before < ":") & (before > "\u0002") & F.array_contains(units, token)
         return F.when(token < "\u0002", _NAME).when(token < ":", _NUMBER).when(unit, _UNIT).otherwise(0)
 
-    coded = F.transform("_tokens", lambda token, at: F.xxhash64(F.lower(token)).bitwiseAND(F.lit(-4)).bitwiseOR(kind(token, at).cast("bigint")))
+    coded = F.transform("_tokens", lambda token, at: F.xxhash64(token).bitwiseAND(F.lit(-4)).bitwiseOR(kind(token, at).cast("bigint")))
     return rows.withColumn("tokens", coded).drop("text", "_tokens")
 
 
