@@ -278,16 +278,18 @@ def unresolved_entities(spark: SparkSession, d: str) -> DataFrame:
 
 @check(
     "W11_unambiguous_candidates",
-    sql="""SELECT CAST(800000000 + user_id AS VARCHAR) AS org, CASE WHEN count(DISTINCT event_type) = 1 AND count(DISTINCT event_id % 2) = 1 THEN 'candidate' ELSE 'ambiguous' END AS state,
-      CASE WHEN count(DISTINCT event_type) = 1 AND count(DISTINCT event_id % 2) = 1 THEN min(event_type) END AS item
-      FROM events WHERE event_id % 97 = 0 GROUP BY user_id""",
+    sql="""SELECT CAST(800000000 + user_id AS VARCHAR) AS org, CASE WHEN count(DISTINCT item) = 1 AND count(DISTINCT side) = 1 THEN 'candidate' ELSE 'ambiguous' END AS state,
+      CASE WHEN count(DISTINCT item) = 1 AND count(DISTINCT side) = 1 THEN min(item) END AS item
+      FROM (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN event_type ELSE 'type' || user_id % 5 END AS item,
+              CASE WHEN user_id % 4 = 0 THEN event_id % 2 ELSE user_id % 2 END AS side FROM events) e GROUP BY user_id""",
 )
 def unambiguous_candidates(spark: SparkSession, d: str) -> DataFrame:
-    # Bindings are thin, so that some companies have exactly one.
-    rows = b.table(spark, d, "events").filter(F.pmod("event_id", F.lit(97)) == 0)
-    bindings = rows.select(
-        b.org_of("user_id").alias("org"), F.col("event_type").alias("item"),
-        F.concat(F.lit("www.side"), F.pmod("event_id", F.lit(2)).cast("string"), F.lit(".no")).alias("website"),
+    # Every event binds an item and a website; two in three companies keep one item, three in four one website.
+    user, event = F.col("user_id"), F.col("event_id")
+    item = F.when(user % 3 == 0, F.col("event_type")).otherwise(F.concat(F.lit("type"), (user % 5).cast("string")))
+    side = F.when(user % 4 == 0, event % 2).otherwise(user % 2)
+    bindings = b.table(spark, d, "events").select(
+        b.org_of("user_id").alias("org"), item.alias("item"), F.concat(F.lit("www.side"), side.cast("string"), F.lit(".no")).alias("website")
     )
     return disc.unambiguous_candidates(bindings).select("org", "state", "item")
 

@@ -208,12 +208,27 @@ def non_root_page(url: Column, generic_segments: tuple[str, ...]) -> Column:
     return (F.size(segments) > 0) & ~lone
 
 
+def without_dots(url: Column) -> Column:
+    """An address whose path has no ``.`` and ``..`` segments left; other addresses stay as they are."""
+    head = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1), r"(/\.\.?)$", "$1/")
+    kept = F.aggregate(
+        F.split(path, "/"),
+        F.array().cast("array<string>"),
+        lambda done, part: F.when(part == ".", done)
+        .when(part == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1))))
+        .otherwise(F.concat(done, F.array(part))),
+    )
+    dotted = (head != "") & path.rlike(r"/\.\.?/")
+    return F.when(dotted, F.concat(head, F.array_join(kept, "/"), F.regexp_extract(url, r"([?#].*)?$", 0))).otherwise(url)
+
+
 def resolve_link(base_url: Column, href: Column) -> Column:
-    """Absolute form of a link: absolute, scheme-relative, root-relative, or relative to the base folder."""
+    """Absolute form of a link: absolute, scheme-relative, root-relative, or relative to the base folder; dot segments go."""
     link = F.trim(F.coalesce(href, F.lit("")))
     origin = F.concat(url_scheme(base_url), F.lit("://"), url_authority(base_url))
     folder = F.regexp_replace(url_path(base_url), r"[^/]*$", "")
-    return (
+    found = (
         F.when(link.rlike(_SCHEME) | link.rlike(r"^(?:mailto|tel|javascript|data):"), link)
         .when(F.startswith(link, F.lit("//")), F.concat(url_scheme(base_url), F.lit(":"), link))
         .when(F.startswith(link, F.lit("/")), F.concat(origin, link))
@@ -225,3 +240,4 @@ def resolve_link(base_url: Column, href: Column) -> Column:
         )
         .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), link))
     )
+    return without_dots(found)

@@ -74,8 +74,8 @@ _MARK = "\u0001"
 
 
 def _occurrences(text: Column, pattern: str) -> Column:
-    """Array of (start, written) of every match; starts count from zero."""
-    marked = F.regexp_replace(text, pattern, _MARK + "$0" + _MARK)
+    """Array of (start, written) of every match; starts count from zero. A mark in the text itself reads as a space."""
+    marked = F.regexp_replace(F.replace(text, F.lit(_MARK), F.lit(" ")), pattern, _MARK + "$0" + _MARK)
     return F.aggregate(
         F.split(marked, _MARK, -1),
         F.struct(

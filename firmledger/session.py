@@ -1,7 +1,7 @@
 """Session settings and lineage cutting.
 
 A cluster names its shared folder in ``spark.checkpoint.dir``; that setting is read, never replaced.
-Only where it is unset (tests, a laptop) a fresh local folder is made.
+Only where it is unset on a local master (tests, a laptop) a fresh local folder is made; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ def session_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="firmledger-", dir=os.environ.get("TMPDIR"))
     spark.conf.set("spark.checkpoint.dir", local)
     return local

@@ -23,7 +23,6 @@ _HIDDEN = {"script", "style", "noscript", "template"}
 _CHROME = {"nav", "header", "footer", "aside"}
 _CARDS = {"article", "li", "div", "section"}
 _ORGANISATION_TYPES = {"Organization", "Corporation", "LocalBusiness", "Store", "Restaurant"}
-_CARD_LIMIT = 1600
 
 _LINK = T.StructType(
     [T.StructField("position", T.IntegerType())]
@@ -117,7 +116,7 @@ class _PageParser(HTMLParser):
                     "position": link["position"],
                     "href": link["href"],
                     "text": " ".join(link["text"]),
-                    "card": card if len(card) <= _CARD_LIMIT else None,
+                    "card": card,
                 }
             )
         organisations: list[str] = []
@@ -125,7 +124,7 @@ class _PageParser(HTMLParser):
         for block in self.jsonld:
             try:
                 node = json.loads(block)
-            except ValueError:
+            except (ValueError, RecursionError):  # a block that is no JSON, or nested beyond the reader
                 continue
             _walk_typed(node, _ORGANISATION_TYPES, organisations)
             _walk_typed(node, {"JobPosting"}, postings)
@@ -142,23 +141,28 @@ class _PageParser(HTMLParser):
 
 def _walk_typed(node: object, wanted: set[str], found: list[str]) -> None:
     """Nodes of the wanted types at any depth, as canonical JSON."""
-    if isinstance(node, dict):
-        kind = node.get("@type")
-        kinds = {str(item) for item in (kind if isinstance(kind, list) else [kind])}
-        if kinds & wanted:
-            found.append(json.dumps(node, ensure_ascii=False, sort_keys=True))
-        for child in node.values():
-            _walk_typed(child, wanted, found)
-    elif isinstance(node, list):
-        for child in node:
-            _walk_typed(child, wanted, found)
-
-
-def _parse(html: str | None) -> dict:
+    waiting = [node]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, dict):
+            kind = node.get("@type")
+            kinds = {str(item) for item in (kind if isinstance(kind, list) else [kind])}
+            if kinds & wanted:
+                found.append(json.dumps(node, ensure_ascii=False, sort_keys=True))
+            waiting += reversed(node.values())
+        elif isinstance(node, list):
+            waiting += reversed(node)
+
+
+def _parse(html: str | None) -> dict | None:
+    """Content of one page; None where it cannot be read, so that one page never ends the job."""
     parser = _PageParser()
-    parser.feed(html or "")
-    parser.close()
-    return parser.row()
+    try:
+        parser.feed(html or "")
+        parser.close()
+        return parser.row()
+    except (ValueError, AssertionError, RecursionError):
+        return None
 
 
 def page_events(snapshots: DataFrame) -> DataFrame:
@@ -191,6 +195,11 @@ def page_events(snapshots: DataFrame) -> DataFrame:
             rows = [
                 _parse(html) if status == "available" else empty for html, status in zip(batch["html"], batch["status"], strict=True)
             ]
+            broken = [row is None for row in rows]
+            batch = batch.assign(
+                status=batch["status"].mask(broken, "source_error"), error=batch["error"].mask(broken, "Page could not be parsed")
+            )
+            rows = [empty if row is None else row for row in rows]
             yield pd.concat([batch[names].reset_index(drop=True), pd.DataFrame(rows, columns=list(empty))], axis=1)
 
     events = base.mapInPandas(parse, schema)

@@ -9,9 +9,11 @@ from firmledger.functions import orgnum, text, values, web
 from firmledger.functions.ids import variant_json
 from firmledger.operators import activity, identity, reports, site_surface
 from firmledger.operators.cohorts import profiles_for_manifest
+from firmledger.operators.reports import _occurrences as occurrences
 from firmledger.operators.serving import screen
 from firmledger.session import checkpoint, session_checkpoint_dir
 from firmledger.sources.awards import detect_encoding, read_award_rows, resolve_headers
+from firmledger.sources.pages import page_events
 from firmledger.sources.registry import read_manifest, read_registry_bulk
 
 
@@ -69,7 +71,8 @@ def test_registered_domain(spark):
 
 def test_links_resolve(spark):
     base = F.lit("https://a.no/om/oss?x=1")
-    assert value(spark, web.resolve_link(base, F.lit("../b"))) == "https://a.no/om/../b"
+    assert value(spark, web.resolve_link(base, F.lit("../b"))) == "https://a.no/b"
+    assert value(spark, web.resolve_link(base, F.lit("./c/../../../d/.?q=1/../2"))) == "https://a.no/d/?q=1/../2"
     assert value(spark, web.resolve_link(base, F.lit("/b"))) == "https://a.no/b"
     assert value(spark, web.resolve_link(base, F.lit("//c.no/d"))) == "https://c.no/d"
 
@@ -158,3 +161,20 @@ def test_checkpoint_folder_is_read_not_replaced(spark):
     first = session_checkpoint_dir(spark)
     assert session_checkpoint_dir(spark) == first
     assert checkpoint(spark.range(3)).count() == 3
+
+
+def test_hostile_page_is_a_row(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    pages = [("1", f'<script type="application/ld+json">{deep}</script><p>kept</p>'), ("2", "<div>" * 20_000 + "text"), ("3", None)]
+    rows = spark.createDataFrame(
+        [(org, "u", f"https://a{org}.no/", 200, "text/html", "home", None, html) for org, html in pages],
+        "org string, requested_url string, final_url string, status_code int, content_type string, page_kind string, retrieved_at timestamp, html string",
+    )
+    got = {row["org"]: row for row in page_events(rows).collect()}
+    assert set(got) == {"1", "2", "3"} and got["1"]["status"] in ("available", "source_error")
+
+
+def test_mark_character_in_text_is_no_number(spark):
+    rows = spark.createDataFrame([("x\u0001y Antall ansatte er 12",)], "text string")
+    starts = rows.select(occurrences(F.col("text"), r"\d+").alias("found")).first()["found"]
+    assert [row["written"] for row in starts] == ["12"]
