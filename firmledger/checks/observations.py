@@ -164,7 +164,7 @@ def _sentiment_items(spark: SparkSession, d: str) -> DataFrame:
         F.lit("https://news.example/").alias("source_url"),
         F.lit(b.RETRIEVED_AT).alias("retrieved_at"),
         F.col("text"),
-        F.substring("text", 1, 80).alias("evidence_span"),
+        F.col("text").alias("evidence_span"),
         F.sha2("text", 256).alias("content_sha256"),
         (F.pmod(key, F.lit(7)) != 0).alias("exact_entity"),
         F.when(F.col("source").isin("src1", "src2", "src3", "src4", "src5"), F.lit("public_news"))

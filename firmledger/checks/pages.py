@@ -621,7 +621,7 @@ def site_news(spark: SparkSession, d: str) -> DataFrame:
     sql=b.with_ctes(
         PAGE_SQL,
         """SELECT org, CAST(position AS INTEGER) AS position, concat(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*'), path) AS url
-          FROM assessed, (VALUES (0, '/feed/'), (1, '/rss.xml')) f(position, path) WHERE score >= 0.9""",
+          FROM assessed, (VALUES (0, '/feed/'), (1, '/rss.xml'), (2, '/feed.xml'), (3, '/atom.xml')) f(position, path) WHERE score >= 0.9""",
     ),
 )
 def feed_candidates(spark: SparkSession, d: str) -> DataFrame:

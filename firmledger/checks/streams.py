@@ -1,7 +1,13 @@
-"""Streaming checks: each job runs over the event table as a stream and is compared with plain SQL."""
+"""Streaming checks: each job runs over the event table as a stream and is compared with plain SQL.
+
+Events are delivered in five parts of six days. Where a job allows it, every fifth event comes one part late and every third comes again
+with the next part. Each job runs file by file and once over all files; both must give the rows of the SQL.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,74 +16,112 @@ from ..streaming import jobs
 from . import bindings as b
 from .registry import check
 
+_START, _PARTS, _DAYS = "2024-01-01", 5, 6
+_TRIGGERS = "(VALUES ('by file'), ('all files')) AS runs(run)"
+
 
-def event_stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = b.table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return stream.select(
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return b.table(spark, d, "events").select(
         b.org_of("user_id").alias("org"), F.col("event_id").cast("string").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"),
-        "event_type", F.get_json_object("props", "$.k").alias("k"),
+        "event_type", F.get_json_object("props", "$.k").alias("k"), F.col("event_id").cast("bigint").alias("_number"),
     )
 
 
+def _deliver(rows: DataFrame, label: str, late: bool = False, repeats: bool = False, closing: DataFrame | None = None) -> str:
+    """Folder of delivered files; the rows of a company in one part lie in one file."""
+    folder = fresh_folder(rows.sparkSession, label)
+    part = F.least(F.floor(F.datediff("ts", F.lit(_START)) / _DAYS), F.lit(_PARTS - 1)).cast("int")
+    if late:
+        part = part + F.when(F.col("_number") % 5 == 0, 1).otherwise(0)
+    sent = rows.withColumn("_part", part)
+    for number in range(_PARTS + 2):
+        now = F.col("_part") == number
+        if repeats:
+            now = now | ((F.col("_part") == number - 1) & (F.col("_number") % 3 == 0))
+        sent.filter(now).drop("_part", "_number").repartition("org").write.mode("append").parquet(folder)
+    if closing is not None:
+        closing.write.mode("append").parquet(folder)
+    return folder
+
+
+def _both_runs(spark: SparkSession, folder: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    schema = spark.read.parquet(folder).schema
+    by_file = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    at_once = spark.readStream.schema(schema).parquet(folder)
+    return job(by_file).withColumn("run", F.lit("by file")).unionByName(job(at_once).withColumn("run", F.lit("all files")))
+
+
 @check(
     "T1_deduplicated_stream",
-    sql="SELECT CAST(800000000 + user_id AS VARCHAR) AS org, CAST(event_id AS VARCHAR) AS event_id FROM events",
+    sql=f"SELECT CAST(800000000 + user_id AS VARCHAR) AS org, CAST(event_id AS VARCHAR) AS event_id, run FROM events, {_TRIGGERS}",
 )
 def deduplicated_stream(spark: SparkSession, d: str) -> DataFrame:
-    events = event_stream(spark, d).select("org", "event_id", F.col("ts").alias("dato"))
-    # Every event is delivered twice.
-    twice = events.select("org", "event_id", "dato", F.explode(F.array(F.lit(0), F.lit(1))).alias("delivery"))
-    rows = jobs.run_available(jobs.deduplicated_events(twice), "dedup")
-    return rows.select("org", "event_id")
+    rows = _events(spark, d).select("org", "event_id", "ts", "_number")
+    folder = _deliver(rows.unionByName(rows), "delivered", late=True, repeats=True)
+
+    def job(stream: DataFrame) -> DataFrame:
+        events = stream.withColumnRenamed("ts", "dato")
+        return jobs.run_available(jobs.deduplicated_events(events, "20 days"), "dedup").select("org", "event_id")
+
+    return _both_runs(spark, folder, job)
 
 
 @check(
     "T2_newest_events_stream",
-    sql="""SELECT org, event_id FROM (SELECT CAST(800000000 + user_id AS VARCHAR) AS org, CAST(event_id AS VARCHAR) AS event_id,
-        row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%dT%H:%M:%SZ') DESC, CAST(event_id AS VARCHAR) DESC) AS rn FROM events)
+    sql=f"""SELECT org, event_id, run FROM (SELECT CAST(800000000 + user_id AS VARCHAR) AS org, CAST(event_id AS VARCHAR) AS event_id,
+        row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%dT%H:%M:%SZ') DESC, CAST(event_id AS VARCHAR) DESC) AS rn FROM events), {_TRIGGERS}
       WHERE rn <= 3""",
 )
 def newest_events_stream(spark: SparkSession, d: str) -> DataFrame:
-    events = event_stream(spark, d).select(
-        "org", "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("effective_at"), F.col("event_type").alias("summary")
-    )
-    return jobs.run_available(jobs.newest_events(events), "newest", mode="update").select("org", "event_id")
+    folder = _deliver(_events(spark, d), "delivered", late=True, repeats=True)
+
+    def job(stream: DataFrame) -> DataFrame:
+        events = stream.select(
+            "org", "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("effective_at"), F.col("event_type").alias("summary")
+        )
+        return jobs.run_available(jobs.newest_events(events), "newest", mode="update", keys=["org"]).select("org", "event_id")
+
+    return _both_runs(spark, folder, job)
 
 
 @check(
     "T3_refresh_stream",
-    sql="""WITH first_part AS (SELECT user_id, event_type, max_by(json_extract_string(props, '$.k'), ts) AS v FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1, 2),
-        second_part AS (SELECT user_id, event_type, max_by(json_extract_string(props, '$.k'), ts) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1, 2)
-      SELECT CAST(800000000 + f.user_id AS VARCHAR) AS org, f.event_type AS field, f.v AS previous_value, s.v AS current_value
-      FROM first_part f JOIN second_part s ON f.user_id = s.user_id AND f.event_type = s.event_type WHERE f.v <> s.v""",
+    sql=f"""WITH v AS (SELECT user_id, event_type, ts, json_extract_string(props, '$.k') AS value FROM events),
+      steps AS (SELECT *, lag(value) OVER w AS before, row_number() OVER w AS n FROM v
+        WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, value NULLS FIRST))
+      SELECT CAST(800000000 + user_id AS VARCHAR) AS org, event_type AS field, before AS previous_value, value AS current_value, run
+      FROM steps, {_TRIGGERS} WHERE n > 1 AND value IS DISTINCT FROM before""",
 )
 def refresh_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Two snapshots arrive as two files: the first half of the month, then the rest."""
-    folder = fresh_folder(spark, "snapshots")
-    halves = b.table(spark, d, "events")
-    early = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
-    for part in (halves.filter(early), halves.filter(~early)):
-        part.select(
-            b.org_of("user_id").alias("org"), F.col("event_type").alias("field"), F.get_json_object("props", "$.k").alias("value"),
+    folder = _deliver(_events(spark, d), "delivered", repeats=True)
+
+    def job(stream: DataFrame) -> DataFrame:
+        observed = stream.select(
+            "org", F.col("event_type").alias("field"), F.col("k").alias("value"),
             F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("retrieved_at"),
-        ).coalesce(1).write.mode("append").parquet(folder)
-    stream = (
-        spark.readStream.schema("org string, field string, value string, retrieved_at string")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(folder)
-    )
-    return jobs.run_available(jobs.refresh_changes(stream), "refresh").select("org", "field", "previous_value", "current_value")
+        )
+        changes = jobs.run_available(jobs.refresh_changes(observed), "refresh")
+        return changes.select("org", "field", "previous_value", "current_value")
+
+    return _both_runs(spark, folder, job)
 
 
 @check(
     "T4_daily_ledger_stream",
-    sql="""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS platform, 'ok' AS status, count(*) AS events FROM events
-      GROUP BY 1, 2""",
+    sql=f"""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS platform, 'ok' AS status, count(*) AS events, run
+      FROM events, {_TRIGGERS} GROUP BY ALL""",
 )
 def daily_ledger_stream(spark: SparkSession, d: str) -> DataFrame:
-    events = event_stream(spark, d).select(
-        F.col("ts").alias("retrieved_at"), F.col("event_type").alias("platform"), F.lit("ok").alias("status")
+    """A last delivery long after the others lets the watermark pass their days; its own day stays open."""
+    rows = _events(spark, d).select("org", "ts", "event_type", "_number")
+    closing = spark.range(1).select(
+        F.lit("800000000").alias("org"), F.lit("2024-06-01").cast("timestamp").alias("ts"), F.lit("closing").alias("event_type")
     )
-    rows = jobs.run_available(jobs.daily_ledger(events), "ledger", mode="complete")
-    return rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "platform", "status", "events")
+    folder = _deliver(rows, "delivered", late=True, closing=closing)
+
+    def job(stream: DataFrame) -> DataFrame:
+        events = stream.select(F.col("ts").alias("retrieved_at"), F.col("event_type").alias("platform"), F.lit("ok").alias("status"))
+        ledger = jobs.run_available(jobs.daily_ledger(events, "20 days"), "ledger")
+        return ledger.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "platform", "status", "events")
+
+    return _both_runs(spark, folder, job)

@@ -88,7 +88,7 @@ def acronym_aliases(name_tokens: Column) -> Column:
     """Aliases of a legal name: compact, initials, and first three or four letters plus initials."""
     initials = F.array_join(F.transform(name_tokens, lambda token: F.substring(token, 1, 1)), "")
     first = F.coalesce(F.try_element_at(name_tokens, F.lit(1)), F.lit(""))
-    rest = F.substring(initials, 2, 1000)
+    rest = F.substring(initials, F.lit(2), F.length(initials))
     many = F.size(name_tokens) >= 2
     candidates = F.array(
         F.array_join(name_tokens, ""),
@@ -222,5 +222,5 @@ def specific_title(title: Column, generic: tuple[str, ...], minimum_words: int =
 def norwegian_phone(value: Column) -> Column:
     """Last eight digits of a phone number without the country prefix."""
     number = F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"[^0-9]", "")
-    number = F.when((F.length(number) > 8) & number.startswith("47"), F.substring(number, 3, 100)).otherwise(number)
+    number = F.when((F.length(number) > 8) & number.startswith("47"), F.substring(number, F.lit(3), F.length(number))).otherwise(number)
     return F.right(number, F.lit(8))

@@ -141,10 +141,7 @@ def render_registry_value(value_json: Column) -> Column:
         raw,
     )
     items = F.from_json(raw, "array<string>")
-    as_list = F.concat(
-        F.array_join(F.slice(items, 1, 4), ", "),
-        F.when(F.size(items) > 4, F.lit(" …")).otherwise(F.lit("")),
-    )
+    as_list = F.array_join(items, ", ")
     scalar = F.get_json_object(F.concat(F.lit('{"v":'), raw, F.lit("}")), "$.v")
     return (
         F.when(raw.isNull() | (raw == "null"), F.lit("removed"))
@@ -155,7 +152,7 @@ def render_registry_value(value_json: Column) -> Column:
 
 
 def change_summary(changes: Column) -> Column:
-    """Up to five distinct-label phrases of an ordered array of (label, operation, value)."""
+    """All distinct-label phrases of an ordered array of (label, operation, value)."""
     labels = F.transform(changes, lambda item: item["label"])
     first_seen = F.filter(changes, lambda item, index: F.array_position(labels, item["label"]) == index + 1)
 
@@ -167,7 +164,7 @@ def change_summary(changes: Column) -> Column:
             .otherwise(F.concat(item["label"], F.lit(" updated: "), value))
         )
 
-    return F.array_join(F.slice(F.transform(first_seen, phrase), 1, 5), "; ")
+    return F.array_join(F.transform(first_seen, phrase), "; ")
 
 
 def review_label(stars: Column) -> Column:

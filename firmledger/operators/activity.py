@@ -329,7 +329,7 @@ def precision_guard(claims: DataFrame, evidence: DataFrame) -> tuple[DataFrame,
     anchor = squash(F.get_json_object("value", "$.anchor_text"))
     path_words = F.regexp_replace(decoded_path(url), r"[-_/]+", " ")
     marked = phrase_rank(path_words, CAREERS_PATH_TERMS).isNotNull() | (
-        (anchor != "") & (F.length(anchor) <= 160) & phrase_rank(anchor, CAREERS_ANCHOR_TERMS).isNotNull()
+        (anchor != "") & phrase_rank(anchor, CAREERS_ANCHOR_TERMS).isNotNull()
     )
     careers_ok = is_http(url) & ~outside & marked
 

@@ -363,9 +363,10 @@ def claim_delta_by_field(delta: DataFrame) -> DataFrame:
     return delta.groupBy("change", "field").agg(F.sum("claims").alias("claims"))
 
 
-def claim_delta_details(delta: DataFrame, change: str, limit: int = 50) -> DataFrame:
-    """First rows of a delta for a report, in key order."""
-    return delta.filter(F.col("change") == change).orderBy("org", "field", "value").limit(limit)
+def claim_delta_details(delta: DataFrame, change: str, limit: int | None = None) -> DataFrame:
+    """Rows of a delta in key order; a limit keeps the first ones for a report."""
+    rows = delta.filter(F.col("change") == change).orderBy("org", "field", "value")
+    return rows if limit is None else rows.limit(limit)
 
 
 def coverage_delta(before: DataFrame, after: DataFrame) -> DataFrame:

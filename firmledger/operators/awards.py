@@ -58,7 +58,7 @@ def award_evidence_span(org: Column) -> Column:
         labelled("granting authority: ", "giver_name"),
         labelled("status: ", "status"),
     )
-    return F.substring(F.concat_ws("; ", *parts), 1, 1600)
+    return F.concat_ws("; ", *parts)
 
 
 def newest_awards(

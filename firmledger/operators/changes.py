@@ -138,7 +138,7 @@ def change_claims(selected: DataFrame, retrieved_at: str, source_url: str) -> tu
         F.lit("official").alias("source_class"),
         F.lit(retrieved_at).alias("retrieved_at"),
         "content_sha256",
-        F.substring("summary", 1, 1000).alias("claim_span"),
+        F.col("summary").alias("claim_span"),
         "effective_at",
         F.col("event_id").alias("source_row_key"),
     )

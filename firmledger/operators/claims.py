@@ -99,7 +99,7 @@ def split_drafts(drafts: DataFrame) -> tuple[DataFrame, DataFrame]:
         source_class(source).alias("source_class"),
         "retrieved_at",
         "content_sha256",
-        F.substring(span, 1, 1000).alias("claim_span"),
+        span.alias("claim_span"),
         "as_of",
         "effective_at",
         "source_row_key",
@@ -417,7 +417,7 @@ def live_registry_claims(modules: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.array("id").alias("evidence_ids"), F.lit(LIVE_SIGNAL).alias("signal_type"), scope.alias("claim_scope"),
     )
     span = F.when(
-        F.col("value").isNotNull(), F.substring(F.concat(F.col("path"), F.lit("="), F.col("value")), 1, 1000)
+        F.col("value").isNotNull(), F.concat(F.col("path"), F.lit("="), F.col("value"))
     ).otherwise(F.concat(F.col("path"), F.lit(" not resolved in retained exact-org registry_live response")))
     evidence = rows.select(
         "org", "id", "source_url", F.lit("official").alias("source_class"), "retrieved_at", "content_sha256",
@@ -435,7 +435,7 @@ def _narrative_text(value: Column, name: str) -> Column:
     raw = json_member(value, f"$.{name}")
     lines = F.filter(F.from_json(raw, "array<string>"), lambda line: F.trim(line) != "")
     text = F.when(F.startswith(raw, F.lit("[")), F.array_join(lines, " ")).otherwise(F.get_json_object(value, f"$.{name}"))
-    return F.nullif(F.substring(squash(text), 1, 4000), F.lit(""))
+    return F.nullif(squash(text), F.lit(""))
 
 
 def narrative_claims(claims: DataFrame, modules: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -482,7 +482,7 @@ def narrative_claims(claims: DataFrame, modules: DataFrame) -> tuple[DataFrame,
     evidence = rows.select(
         "org", "id", "source_url", F.lit("official").alias("source_class"), "retrieved_at", "content_sha256",
         F.col("org").alias("source_row_key"), F.concat(F.lit("/"), F.col("key")).alias("source_field"),
-        F.substring(F.concat(F.lit("/"), F.col("key"), F.lit("="), F.col("text")), 1, 4000).alias("claim_span"),
+        F.concat(F.lit("/"), F.col("key"), F.lit("="), F.col("text")).alias("claim_span"),
     )
     return conform(new_claims, CLAIM), conform(evidence, EVIDENCE)
 

@@ -69,7 +69,6 @@ ACTIVITY = (
 )
 LEADING_ENTITY = r"^\s*([A-ZÆØÅ0-9][A-Za-zÆØÅæøå0-9&.'’()\-/ ]{1,80}?\s+(?:ASA|AS|ANS|DA|NUF|SA|BA|KS|IKS|HF|KF|SF))\b"
 ENTITY_SUFFIX = r"(?iu)\s+(?:ASA|AS|ANS|DA|NUF|SA|BA|KS|IKS|HF|KF|SF)\s*$"
-SECTION_WINDOW, DESCRIPTION_CHARS = 2200, 700
 _MARK = "\u0001"
 
 
@@ -188,7 +187,7 @@ def _clean_section(section: Column) -> Column:
     flat = squash(F.array_join(F.filter(lines, lambda line: line != ""), " "))
     stop = F.regexp_instr(flat, F.lit(INLINE_STOP))
     cut = F.concat(F.regexp_replace(F.substring(flat, F.lit(1), stop - 1), r"[ .;:\-]+$", ""), F.lit("."))
-    return F.substring(F.when(stop > 40, cut).otherwise(flat), 1, DESCRIPTION_CHARS)
+    return F.when(stop > 40, cut).otherwise(flat)
 
 
 def extract_description(reports: DataFrame) -> DataFrame:
@@ -207,7 +206,7 @@ def extract_description(reports: DataFrame) -> DataFrame:
     sections = F.transform(
         starts,
         lambda start: _clean_section(
-            F.element_at(F.split(F.substring(F.col("_body"), start + 1, F.lit(SECTION_WINDOW)), STOP_HEADING, 2), 1)
+            F.element_at(F.split(F.substring(F.col("_body"), start + 1, F.length("_body")), STOP_HEADING, 2), 1)
         ),
     )
     usable = F.filter(

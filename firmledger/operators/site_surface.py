@@ -44,10 +44,10 @@ BLOCKED_LOCAL_PARTS = (
 EMAIL_PATTERN = r"(?i)(?<![A-Z0-9._%+-])([A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})(?![A-Z0-9._%+-])"
 # Wording of an explicit vacancy count.
 VACANCY_PATTERNS = (
-    r"(?i)\b(\d{1,3})\s+(?:antall\s+)?ledige\s+stillinger\b",
-    r"(?i)\bantall\s+ledige\s+stillinger(?:\s+[^\d\s]+){0,6}\s+(\d{1,3})\b",
-    r"(?i)\b(\d{1,3})\s+(?:open\s+positions|open\s+roles|open\s+vacancies|vacancies)\b",
-    r"(?i)\b(?:open\s+positions|open\s+roles|open\s+vacancies|vacancies)\s*[:\-]?\s*(\d{1,3})\b",
+    r"(?i)\b(\d+)\s+(?:antall\s+)?ledige\s+stillinger\b",
+    r"(?i)\bantall\s+ledige\s+stillinger(?:\s+[^\d\s]+){0,6}\s+(\d+)\b",
+    r"(?i)\b(\d+)\s+(?:open\s+positions|open\s+roles|open\s+vacancies|vacancies)\b",
+    r"(?i)\b(?:open\s+positions|open\s+roles|open\s+vacancies|vacancies)\s*[:\-]?\s*(\d+)\b",
 )
 SOCIAL_HANDLE_HOSTS = {
     "linkedin": "linkedin.com", "facebook": "facebook.com", "instagram": "instagram.com", "x": "x.com",
@@ -93,10 +93,10 @@ def _trimmed(url: Column) -> Column:
 
 # --- W17: link picks -------------------------------------------------------------------------------
 
-def _leading(rows: DataFrame, keys: list[str], order: list[Column], count: int) -> DataFrame:
-    """First rows per key; the limit is applied inside every map task before the shuffle."""
-    position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("pick", position).filter(F.col("pick") <= count)
+def _leading(rows: DataFrame, keys: list[str], order: list[Column], count: int | None) -> DataFrame:
+    """All rows with their rank per key as ``pick``; with a count only the first ones, cut inside every map task."""
+    ranked = rows.withColumn("pick", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked if count is None else ranked.filter(F.col("pick") <= count)
 
 
 def _once(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -104,7 +104,7 @@ def _once(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*")
 
 
-def priority_links(links: DataFrame, limit: int = 4) -> DataFrame:
+def priority_links(links: DataFrame, limit: int | None = None) -> DataFrame:
     """Same-host links that speak of contact, people or news: best term, then address."""
     text = F.lower(F.concat(url_path(F.col("url")), F.lit(" "), F.coalesce("anchor_text", F.lit(""))))
     rows = links.filter(is_http(F.col("url")) & (url_host(F.col("url")) == url_host(F.col("final_url")))).select(
@@ -115,7 +115,7 @@ def priority_links(links: DataFrame, limit: int = 4) -> DataFrame:
     return _leading(best, ["org", "final_url"], [F.col("rank"), F.col("url")], limit)
 
 
-def identity_links(links: DataFrame, limit: int = 8) -> DataFrame:
+def identity_links(links: DataFrame, limit: int | None = None) -> DataFrame:
     """Links of the same registered domain to legal and contact pages: best term, shorter path, address."""
     text = F.concat(decoded_path(F.col("url")), F.lit(" "), F.lower(F.coalesce("anchor_text", F.lit(""))))
     home = registered_domain(F.col("final_url"))
@@ -127,11 +127,11 @@ def identity_links(links: DataFrame, limit: int = 8) -> DataFrame:
     return _leading(first, ["org", "final_url"], [F.col("rank"), F.length(url_path(F.col("url"))), F.col("url")], limit)
 
 
-def careers_links(links: DataFrame, limit: int = 4) -> DataFrame:
-    """Links of the same company host to a careers page, by path words or by a short anchor text."""
+def careers_links(links: DataFrame, limit: int | None = None) -> DataFrame:
+    """Links of the same company host to a careers page, by path words or by anchor text."""
     path_rank = phrase_rank(_path_words(F.col("url")), CAREERS_PATH_TERMS)
     anchor = squash(F.col("anchor_text"))
-    anchor_rank = F.when((anchor != "") & (F.length(anchor) <= 160), phrase_rank(anchor, CAREERS_ANCHOR_TERMS))
+    anchor_rank = F.when(anchor != "", phrase_rank(anchor, CAREERS_ANCHOR_TERMS))
     path_terms, anchor_terms = (
         F.array(*[F.lit(term) for term in terms]) for terms in (CAREERS_PATH_TERMS, CAREERS_ANCHOR_TERMS)
     )
@@ -161,8 +161,8 @@ def careers_surface_order(url: Column, marker: Column) -> Column:
     return F.struct(rank, F.length(url_path(url)), url)
 
 
-def news_links(links: DataFrame, limit: int = 4) -> DataFrame:
-    """Links to single news items in document order: below a news section, or in a small dated card."""
+def news_links(links: DataFrame, limit: int | None = None) -> DataFrame:
+    """Links to single news items in document order: below a news section, or in a dated card."""
     sections = path_segments(F.col("clean_url"))
     marked = F.transform(
         sections, lambda part, index: F.when(part.isin(*NEWS_SECTIONS), index).otherwise(F.lit(-1))
@@ -175,7 +175,7 @@ def news_links(links: DataFrame, limit: int = 4) -> DataFrame:
         F.coalesce("card_text", F.lit("")).rlike(DATE_HINT), F.col("card_text")
     )
     home = registered_domain(F.col("final_url"))
-    outside = F.exists(sections, lambda part: part.isin(*NON_ACTIVITY_SEGMENTS)) | (F.length(anchor) > 180)
+    outside = F.exists(sections, lambda part: part.isin(*NON_ACTIVITY_SEGMENTS))
     generic = F.regexp_replace(F.lower(anchor), r"^[ \-|:]+|[ \-|:]+$", "").isin(*GENERIC_NEWS_ANCHORS)
     keep = (
         is_http(F.col("url")) & (home != "") & (registered_domain(F.col("clean_url")) == home)
@@ -226,8 +226,8 @@ def careers_claims(picked: DataFrame, verified: DataFrame) -> tuple[DataFrame, D
 
 # --- W18: contact addresses --------------------------------------------------------------------------------
 
-def contact_emails(text: Column, site_url: Column, limit: int = 3) -> Column:
-    """Addresses of the site's own registered domain in a text, sorted, the first ones."""
+def contact_emails(text: Column, site_url: Column) -> Column:
+    """All addresses of the site's own registered domain in a text, sorted."""
     found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(EMAIL_PATTERN), F.lit(1)), F.lower)
     domain = registered_domain(site_url)
     own = F.filter(
@@ -237,7 +237,7 @@ def contact_emails(text: Column, site_url: Column, limit: int = 3) -> Column:
         & (domain != "")
         & (registered_domain(F.concat(F.lit("https://"), F.element_at(F.split(email, "@"), 2))) == domain),
     )
-    return F.slice(F.array_sort(F.array_distinct(own)), 1, limit)
+    return F.array_sort(F.array_distinct(own))
 
 
 def contact_observations(verified: DataFrame) -> DataFrame:
@@ -439,11 +439,11 @@ def contact_claims(observations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # --- P10: hiring signal ------------------------------------------------------------------------------------
 
-def vacancy_count(text: Column) -> Column:
-    """Largest explicit vacancy count of 1 to 500 in a page text, else zero."""
+def vacancy_count(text: Column, most: int = 500) -> Column:
+    """Largest explicit vacancy count of 1 to ``most`` in a page text, else zero; larger numbers are no vacancy counts."""
     body = squash(text)
     found = F.concat(*[F.regexp_extract_all(body, F.lit(pattern), F.lit(1)) for pattern in VACANCY_PATTERNS])
-    counts = F.filter(F.transform(found, lambda item: item.try_cast("int")), lambda count: count.between(1, 500))
+    counts = F.filter(F.transform(found, lambda item: item.try_cast("int")), lambda count: count.between(1, most))
     return F.coalesce(F.array_max(counts), F.lit(0))
 
 
@@ -463,8 +463,8 @@ def _role_title(title: Column) -> Column:
     return (bare != "") & ~bare.isin(*GENERIC_ROLE_ANCHORS) & ((words >= 2) | ((words == 1) & (F.length(bare) >= 5)))
 
 
-def job_cards(links: DataFrame, events: DataFrame, limit: int = 12) -> DataFrame:
-    """Role cards of a page: JSON-LD postings first, then dated cards around a role link; at most ``limit`` per page.
+def job_cards(links: DataFrame, events: DataFrame, limit: int | None = None) -> DataFrame:
+    """Role cards of a page: JSON-LD postings first, then dated cards around a role link, ranked per page as ``pick``.
 
     A link on the company's own host must lead below a careers section. Publication needs the current-jobs rules.
     """
@@ -478,11 +478,11 @@ def job_cards(links: DataFrame, events: DataFrame, limit: int = 12) -> DataFrame
     cards = links.filter(is_http(F.col("url"))).select(
         "org", "final_url", "content_sha256", "retrieved_at", title.alias("title"), F.col("url").alias("role_url"),
         F.regexp_extract(context, CARD_DATE, 1).alias("deadline_raw"), context.alias("employer_context"),
-        F.lit("").alias("hiring_organisation"), F.lit("dated_role_card").alias("method"), F.col("position").alias("_at"),
+        F.lit("").alias("hiring_organisation"), F.lit("dated_role_card").alias("method"), F.struct(F.lit(1).alias("part"), F.col("position").alias("at")).alias("_at"),
         (~own | below).alias("_place"),
     )
     cards = cards.filter(
-        F.col("_place") & (F.col("deadline_raw") != "") & (F.length("employer_context") <= 900) & _role_title(F.col("title"))
+        F.col("_place") & (F.col("deadline_raw") != "") & _role_title(F.col("title"))
     ).drop("_place")
     posting = events.filter(F.size("job_postings") > 0).select(
         "org", "final_url", "content_sha256", "retrieved_at", F.posexplode("job_postings").alias("_i", "node")
@@ -495,7 +495,7 @@ def job_cards(links: DataFrame, events: DataFrame, limit: int = 12) -> DataFrame
         "org", "final_url", "content_sha256", "retrieved_at", member("$.title").alias("title"),
         resolve_link(F.col("final_url"), member("$.url")).alias("role_url"), member("$.validThrough").alias("deadline_raw"),
         member("$.hiringOrganization.name").alias("employer_context"), member("$.hiringOrganization.name").alias("hiring_organisation"),
-        F.lit("jsonld_job_posting").alias("method"), (F.col("_i") - 1_000_000).alias("_at"),
+        F.lit("jsonld_job_posting").alias("method"), F.struct(F.lit(0).alias("part"), F.col("_i").alias("at")).alias("_at"),
     ).filter(_role_title(F.col("title")) & (F.col("deadline_raw") != "") & is_http(F.col("role_url")))
     rows = structured.unionByName(cards)
     first = _once(rows.withColumn("_key", F.lower("title")), ["org", "final_url", "_key", "role_url"], F.col("_at"))
@@ -615,10 +615,10 @@ def site_news(verified: DataFrame, pages: DataFrame) -> DataFrame:
 FEED_PATHS = ("feed/", "rss.xml", "feed.xml", "atom.xml")
 
 
-def feed_candidates(verified: DataFrame, limit: int = 2) -> DataFrame:
+def feed_candidates(verified: DataFrame) -> DataFrame:
     """Feed addresses worth fetching per verified site, in a fixed order."""
     origin = F.regexp_extract(F.col("final_url"), r"^(https?://[^/?#]+)", 1)
     rows = verified.filter(origin != "").select(
-        "org", F.posexplode(F.array(*[F.concat(origin, F.lit("/" + path)) for path in FEED_PATHS[:limit]])).alias("position", "url")
+        "org", F.posexplode(F.array(*[F.concat(origin, F.lit("/" + path)) for path in FEED_PATHS])).alias("position", "url")
     )
     return rows

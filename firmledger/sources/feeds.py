@@ -91,8 +91,11 @@ def feed_entries(snapshots: DataFrame) -> DataFrame:
     return feeds.select(*names, "feed_type", F.explode_outer("entries").alias("entry"))
 
 
-def current_entries(entries: DataFrame, as_of: str, per_feed: int = 5) -> DataFrame:
-    """Usable entries per feed in document order: same site, specific title, not future, at most five years old."""
+def current_entries(entries: DataFrame, as_of: str, per_feed: int | None = None) -> DataFrame:
+    """Usable entries per feed in document order: same site, specific title, not future, at most five years old.
+
+    ``pick`` is the rank in the feed; ``per_feed`` keeps the first ones only.
+    """
     link = F.when(F.col("entry.link") != "", resolve_link(F.col("feed_url"), F.col("entry.link")))
     title = squash(F.col("entry.title"))
     bare = F.regexp_replace(squash_lower(F.col("entry.title")), r"^[ .!?:;\-]+|[ .!?:;\-]+$", "")
@@ -111,12 +114,14 @@ def current_entries(entries: DataFrame, as_of: str, per_feed: int = 5) -> DataFr
         day.cast("string").alias("published_date"), F.col("entry.method").alias("date_method"),
         F.col("entry.raw_date").alias("raw_date"),
     )
-    # The first usable entry of an address stands; then the first five per feed.
+    # The first usable entry of an address stands.
     rest = [name for name in rows.columns if name not in ("org", "feed_url", "url")]
     once = rows.groupBy("org", "feed_url", "url").agg(F.min_by(F.struct(*rest), F.col("position")).alias("_row"))
     flat = once.select("org", "feed_url", "url", "_row.*")
     order = Window.partitionBy("org", "feed_url").orderBy("position")
-    picked = flat.withColumn("pick", F.row_number().over(order)).filter(F.col("pick") <= per_feed)
+    picked = flat.withColumn("pick", F.row_number().over(order))
+    if per_feed is not None:
+        picked = picked.filter(F.col("pick") <= per_feed)
     return picked.withColumn(
         "evidence_span",
         F.concat(

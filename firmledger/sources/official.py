@@ -78,9 +78,9 @@ def entity_value(parsed: Column) -> Column:
 
 
 def financial_records(responses: DataFrame) -> DataFrame:
-    """First three account records of each payload in payload order; a missing amount stays null, never zero."""
+    """All account records of each payload in payload order; a missing amount stays null, never zero."""
     rows = responses.filter((F.col("module") == "financials") & (F.col("status") == 200))
-    parsed = rows.select("org", F.posexplode(F.slice(F.from_json("body", ACCOUNTS_SCHEMA), 1, 3)).alias("position", "r"))
+    parsed = rows.select("org", F.posexplode(F.from_json("body", ACCOUNTS_SCHEMA)).alias("position", "r"))
     result = F.col("r.resultatregnskapResultat")
     return parsed.select(
         "org",

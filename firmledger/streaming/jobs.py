@@ -1,11 +1,15 @@
-"""Event, diff and ledger jobs on streams. The batch operators give the same results and serve as their tests."""
+"""Event, diff and ledger jobs on streams.
+
+Results do not depend on how files are dealt to micro-batches: state holds what later batches need, and update-mode output is
+read with the last batch of every key. A trigger's size is bounded by the source (``maxFilesPerTrigger``).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -28,32 +32,38 @@ _NEWEST = T.StructType(
 )
 
 
-def _top(frame: pd.DataFrame, keys: list[str], order: list[str], count: int) -> pd.DataFrame:
-    return frame.sort_values(order, ascending=False, kind="stable").groupby(keys, sort=False).head(count)
+_NEWEST_ORDER = ["effective_at", "event_id", "summary"]
+
+
+def _newest(frame: pd.DataFrame, count: int) -> pd.DataFrame:
+    """Newest events per company; an event that was delivered again counts once, in its newest form."""
+    ordered = frame.sort_values(_NEWEST_ORDER, ascending=False).drop_duplicates(["org", "event_id"])
+    return ordered.groupby("org", sort=False, dropna=False).head(count)
 
 
 def newest_events(events: DataFrame, count: int = 3) -> DataFrame:
     """The newest events of each company that got a new one, in update mode.
 
     Before the shuffle every Arrow batch keeps the newest events per company only, so a company with a third of all
-    events sends a few rows per batch. The state of a company is at most ``count`` events.
+    events sends a few rows per batch. The state of a company is at most ``count`` events. The output of a company
+    replaces its earlier output: read it with ``run_available(..., keys=["org"])``.
     """
-    names, order = _NEWEST.fieldNames(), ["effective_at", "event_id"]
+    names = _NEWEST.fieldNames()
 
     def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield _top(batch[names], ["org"], order, count)
+            yield _newest(batch[names], count)
 
     def update(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame(list(state.get[0]) if state.exists else [], columns=names[1:])
-        before = [tuple(row) for row in kept.itertuples(index=False)]
+        before = [tuple(row) for row in state.get[0]] if state.exists else []
+        kept = pd.DataFrame(before, columns=names[1:], dtype=object).assign(org=key[0])[names]
         for batch in batches:
-            kept = pd.concat([kept, batch[names[1:]]]).drop_duplicates("event_id", keep="last")
-            kept = kept.sort_values(order, ascending=False).head(count)
-        after = [tuple(row) for row in kept.itertuples(index=False)]
+            kept = _newest(pd.concat([kept, batch[names]]), count)
+        kept = kept.astype(object).where(kept.notna(), None)
+        after = [tuple(row) for row in kept[names[1:]].itertuples(index=False)]
         if after != before:
             state.update((after,))
-            yield kept.assign(org=key[0])[names]
+            yield kept
 
     state_schema = "rows ARRAY<STRUCT<event_id: STRING, effective_at: STRING, summary: STRING>>"
     return (
@@ -72,32 +82,45 @@ _CHANGE = T.StructType(
 
 
 def refresh_changes(values: DataFrame) -> DataFrame:
-    """A change whenever the newest value of a (company, field) differs from the last known one; equal values are no change.
+    """A change whenever a value of a (company, field) differs from the one before it in time; equal values are no change.
 
-    ``values``: org, field, value, retrieved_at. Each Arrow batch first keeps the newest value per key, so a key with
-    very many rows sends one row per batch to its state.
+    ``values``: org, field, value, retrieved_at. Every value is compared with its predecessor, so three values in one batch
+    give the same changes as in three batches. A source delivers the values of a key in the order of time: repeats are
+    harmless, but a value older than the last one seen has no place any more and is passed over, as are values without a
+    time. The first value of a key is no change. Repeats inside an Arrow batch are dropped before the shuffle; the other
+    rows of a key in one trigger are ordered in memory, so the trigger size bounds it.
     """
     names = ["org", "field", "value", "retrieved_at"]
     kept_schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
 
     def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield _top(batch[names], ["org", "field"], ["retrieved_at"], 1)
+            yield batch[names].drop_duplicates()
+
+    def place(row: tuple[str, str | None]) -> tuple[str, bool, str]:
+        return row[0], row[1] is not None, row[1] or ""
 
     def update(key: tuple[str, str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = [row for batch in batches for row in batch[["retrieved_at", "value"]].itertuples(index=False, name=None)]
-        seen_at, value = max(rows, key=lambda row: row[0])
-        if not state.exists:
-            state.update((seen_at, value))
-            return
-        last_at, last = state.get
-        if seen_at >= last_at:
-            state.update((seen_at, value))
-            if value != last:
-                yield pd.DataFrame([(*key, last, value, seen_at)], columns=_CHANGE.fieldNames())
+        rows = {
+            (seen_at, None if pd.isna(value) else value)
+            for batch in batches
+            for seen_at, value in batch[["retrieved_at", "value"]].itertuples(index=False, name=None)
+        }
+        last = tuple(state.get) if state.exists else None
+        changes = []
+        for row in sorted(rows, key=place):
+            if last is not None and place(row) <= place(last):
+                continue
+            if last is not None and row[1] != last[1]:
+                changes.append((*key, last[1], row[1], row[0]))
+            last = row
+        state.update(last)
+        if changes:
+            yield pd.DataFrame(changes, columns=_CHANGE.fieldNames())
 
     return (
         values.select(*names)
+        .filter(F.col("retrieved_at").isNotNull())
         .mapInPandas(shrink, kept_schema)
         .groupBy("org", "field")
         .applyInPandasWithState(update, _CHANGE, "retrieved_at STRING, value STRING", "append", GroupStateTimeout.NoTimeout)
@@ -107,7 +130,11 @@ def refresh_changes(values: DataFrame) -> DataFrame:
 # --- T4: crawl ledger --------------------------------------------------------------------------------------
 
 def daily_ledger(events: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Events per day, platform and status; rows later than the watermark are dropped and counted by the engine."""
+    """Events per day, platform and status, in append mode.
+
+    A day is written once, when the watermark has passed its end, and its state is dropped then. Rows that come later than
+    the watermark allows are dropped and counted by the engine; days that are still open are not written.
+    """
     return (
         events.withWatermark("retrieved_at", watermark)
         .groupBy(F.window("retrieved_at", "1 day"), "platform", "status")
@@ -117,23 +144,27 @@ def daily_ledger(events: DataFrame, watermark: str = "1 day") -> DataFrame:
 
 # --- running ------------------------------------------------------------------------------------------------
 
-def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there, and return what it wrote, tagged with its batch.
+def run_available(stream: DataFrame, label: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over what is there and return what it wrote.
 
-    Output and checkpoint lie in the shared folder. Update-mode results are written per batch under the batch id, so a
-    batch that runs again after a failure overwrites itself.
+    Output and checkpoint lie in the shared folder. Results are written per batch under the batch id, so a batch that runs
+    again after a failure overwrites itself. In update mode a later batch replaces the rows of its ``keys``.
     """
+    if mode != "append" and not keys:
+        raise ValueError("update mode needs the keys whose rows a later batch replaces")
     spark = stream.sparkSession
     folder = fresh_folder(spark, label)
     output, state = f"{folder}/out", f"{folder}/state"
-    if mode == "append":
-        writer = stream.writeStream.format("parquet").option("path", output).outputMode("append")
-    else:
 
-        def write(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
-        writer = stream.writeStream.foreachBatch(write).outputMode(mode)
+    write(spark.createDataFrame([], stream.schema), -1)  # a source without rows has an empty result
+    writer = stream.writeStream.foreachBatch(write).outputMode(mode)
     query: StreamingQuery = writer.option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(output) if mode == "append" else spark.read.parquet(output)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(output)
+    if mode != "append":
+        last = F.max("batch").over(Window.partitionBy(*keys))
+        rows = rows.withColumn("_last", last).filter(F.col("batch") == F.col("_last")).drop("_last")
+    return rows.drop("batch")

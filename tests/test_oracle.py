@@ -14,7 +14,7 @@ QUICK = (
     "S4_award_rows", "W1_newest_awards", "P15_award_claims", "W2_newest_changes", "W3_filer_sample", "W6_stress_sample",
     "A1_footprints", "A2_company_sentiment", "A10_latency_percentiles", "F3_observation_reasons", "F5_contract_violations",
     "J15_headline_mentions", "J21_raw_occurrences", "S14_feed_entries", "F10_precision_guard", "W19_channels",
-    "T1_deduplicated_stream", "T2_newest_events_stream", "T3_refresh_stream",
+    "T1_deduplicated_stream", "T2_newest_events_stream", "T3_refresh_stream", "T4_daily_ledger_stream",
 )
 
 
