@@ -33,19 +33,14 @@ def financials(spark: SparkSession, d: str, before: str | None = None) -> DataFr
 
 
 def _financials(spark: SparkSession, d: str, before: str | None) -> DataFrame:
-    """The three newest yearly accounts per company, newest first."""
+    """All yearly accounts per company, newest first."""
     newest = Window.partitionBy("org").orderBy(F.col("period_end").desc())
-    return (
-        b.accounts(spark, d, before)
-        .withColumn("position", F.row_number().over(newest) - 1)
-        .filter(F.col("position") < 3)
-    )
+    return b.accounts(spark, d, before).withColumn("position", F.row_number().over(newest) - 1)
 
 
 def financials_sql(name: str = "fin", accounts: str = "accounts") -> str:
     return f"""{name} AS (
-  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY org ORDER BY period_end DESC) - 1 AS INTEGER) AS position FROM {accounts})
-  WHERE position < 3
+  SELECT *, CAST(row_number() OVER (PARTITION BY org ORDER BY period_end DESC) - 1 AS INTEGER) AS position FROM {accounts}
 )"""
 
 
