@@ -3,9 +3,10 @@
 Texts become token templates: numbers, names (capitalised words inside a sentence) and units after a number turn into typed
 placeholders, all else is lower case; punctuation is dropped. Windows of ``WINDOW`` template tokens of the documents are
 joined by hash with those of the benchmark, so a question asked anew with other numbers or names still meets its item. What a
-slot holds then has to be consistent: within an alignment one value of the item stands for one value of the document and
-vice versa. A document is contaminated where consistent windows of one item at one alignment cover at least ``COVER`` tokens,
-or the whole of a shorter item.
+slot holds then has to be consistent: within a run of windows a value of the item that was changed stands for one value of the
+document. Values left as they are never conflict, and two values may become the same one. A document is contaminated where a
+consistent run of windows of one item at one alignment covers at least ``COVER`` tokens, or the whole of a shorter item; a conflict
+ends a run but does not spoil the windows before or after it.
 
 The work is two array columns and a join: Spark makes one array of token hashes with their kinds, a numpy step turns it into
 windows and drops those whose hash no benchmark window has, and the remaining windows, with their slots, are joined with the
@@ -110,6 +111,86 @@ def matches(rows: DataFrame, widths: list[int], known: np.ndarray | None) -> Dat
     return tokens(rows.select("key", "text")).mapInArrow(find, "key binary, hash bigint, first bigint, width bigint, slots array<bigint>")
 
 
+def coverage(found: list[tuple], length: int) -> int:
+    """Most tokens of an item of ``length`` tokens that a consistent run of windows covers; 0 where all windows together are too few.
+
+    ``found`` holds (first, end) in the document, (first, end) in the item and the changed slots as (item value, document value).
+    """
+    found = sorted(found, key=lambda w: (w[0], w[2], w[1]))
+    seen: set[int] = set()
+    for _, _, low, high, _ in found:
+        seen.update(range(low, high))
+    if len(seen) < min(length, COVER):
+        return 0
+    same: dict[int, set[int]] = {}
+    for first, _, low, high, changed in found:
+        if not changed:
+            same.setdefault(first - low, set()).update(range(low, high))
+    if any(len(own) >= length for own in same.values()):
+        return length
+    total, begin, before, gain = [], [], [], []
+    for j, (first, end, low, high, changed) in enumerate(found):
+        width = min(end - first, high - low)
+        options = []
+        for i in range(j - 1, -1, -1):
+            first_i, end_i, low_i, high_i, _ = found[i]
+            if first - first_i > 2 * length:
+                break
+            if low_i <= low and first - low == first_i - low_i:
+                new = min(high - max(low, high_i), end - max(first, end_i))
+                if new > 0:
+                    options.append((total[i] + new, new, i))
+        best = (width, j, -1, width)
+        for bound, new, i in sorted(options, key=lambda o: (-o[0], -o[2])):
+            if bound <= best[0]:
+                break
+            # Walk back until a changed value meets another change of the same value: the run begins after that.
+            start, sum_, k = begin[i], bound, i
+            if changed:
+                values, sum_, last = dict(changed), new, -1
+                while True:
+                    if any(values.setdefault(a, b) != b for a, b in found[k][4]):
+                        start = last
+                        break
+                    last = k
+                    if k == begin[i]:
+                        break
+                    sum_, k = sum_ + gain[k], before[k]
+                if last < 0:
+                    continue
+                # The first window of a run counts whole.
+                own = min(found[last][1] - found[last][0], found[last][3] - found[last][2])
+                sum_ += own if last == begin[i] else own - gain[last]
+            if sum_ > best[0]:
+                best = (sum_, start, i, new)
+        for values, value in zip((total, begin, before, gain), best, strict=True):
+            values.append(value)
+    return max(total, default=0)
+
+
+def changes(old: list[int], new: list[int]) -> list[tuple] | None:
+    """Changed slots of a window; null where the window itself changes one value in two ways."""
+    pairs = {(a, b) for a, b in zip(old, new, strict=True) if a != b}
+    return None if len({a for a, _ in pairs}) < len(pairs) else sorted(pairs)
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            found = []
+            for w in row["windows"]:
+                changed = changes(w["item_slots"], w["slots"])
+                if changed is not None:
+                    found.append((w["first"], w["first"] + w["width"], w["item_first"], w["item_first"] + w["width"], changed))
+            most = coverage(found, row["length"])
+            if most >= min(row["length"], COVER):
+                out.append((row["key"], row["item_id"], most))
+        if out:
+            keys, ids, covered = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(covered, pa.int64())], ["key", "item_id", "covered"])
+
+
 def item_windows(items: DataFrame) -> tuple[DataFrame, list[int]]:
     """Windows of all benchmark items, shorter items as one window, and the widths that occur."""
     rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
@@ -117,7 +198,7 @@ def item_windows(items: DataFrame) -> tuple[DataFrame, list[int]]:
     lengths = cut(tokens(rows).select("item_id", "key", F.size("tokens").alias("length")).where("length > 0"), "items")
     widths = sorted(row[0] for row in lengths.select(F.least("length", F.lit(WINDOW))).distinct().collect())  # at most WINDOW values
     found = matches(rows, widths, None).join(lengths, "key").where(F.col("width") == F.least("length", F.lit(WINDOW)))
-    renamed = found.select("item_id", "length", "hash", "width", F.col("first").alias("item_first"), F.col("slots").alias("item_slots"))
+    renamed = found.select("item_id", F.col("key").alias("item"), "length", "hash", "width", F.col("first").alias("item_first"), F.col("slots").alias("item_slots"))
     return cut(renamed, "item-windows"), widths
 
 
@@ -130,18 +211,9 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         known = np.array([row[0] for row in asked.select("hash").distinct().toLocalIterator()], dtype=np.int64)
     found = cut(matches(texts, widths, known), "windows").dropDuplicates(["key", "first", "width"])
     pairs = found.join(asked, ["hash", "width"]).where(F.size("slots") == F.size("item_slots"))
-    pairs = pairs.select("key", "item_id", "length", "width", "first", (F.col("first") - F.col("item_first")).alias("shift"), F.arrays_zip("item_slots", "slots").alias("values"))
-    # One alignment of one item in one text: at most as many windows as the item has.
-    aligned = pairs.groupBy("key", "item_id", "length", "shift").agg(
-        F.sort_array(F.collect_set(F.struct("first", "width"))).alias("at"),
-        F.array_distinct(F.flatten(F.collect_list("values"))).alias("values"),
-    )
-    one = lambda field: F.size(F.array_distinct(F.transform("values", lambda v: v[field])))
-    consistent = (one("item_slots") == F.size("values")) & (one("slots") == F.size("values"))
-    new = lambda x, k: F.least(x["width"], F.coalesce(F.get("at", k + 1)["first"] - x["first"], x["width"]))
-    covered = F.aggregate(F.transform("at", new), F.lit(0).cast("bigint"), lambda total, n: total + n)
-    aligned = aligned.withColumns({"covered": covered, "consistent": consistent})
-    kept = aligned.where("consistent").where(F.col("covered") >= F.least("length", F.lit(COVER)))
+    # One item in one text: at most as many windows as the text has at each of the item's.
+    paired = pairs.groupBy("key", "item", "item_id", "length").agg(F.collect_list(F.struct("first", "item_first", "width", "item_slots", "slots")).alias("windows"))
+    kept = paired.select("key", "item_id", F.col("length").cast("int").alias("length"), "windows").mapInArrow(_judge, "key binary, item_id bigint, covered bigint")
     return kept.groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("covered").alias("covered"))
 
 
