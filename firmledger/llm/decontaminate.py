@@ -2,7 +2,10 @@
 
 Texts become token templates: numbers, names (capitalised words inside a sentence) and units after a number turn into typed
 placeholders, all else is lower case; punctuation is dropped. Windows of ``WINDOW`` template tokens of the documents are
-joined by hash with those of the benchmark, so a question asked anew with other numbers or names still meets its item. What a
+joined by hash with those of the benchmark, so a question asked anew with other numbers or names still meets its item. Beside
+them, in the same join, stand windows of the plain lower-cased tokens: they do not depend on case, line breaks or what precedes a
+word, so whatever is quoted word for word is found, also items that are all numbers or names. The first word of an item may be
+a name or not, depending on what it is quoted after: an item is held against both readings. What a
 slot holds then has to be consistent: within a run of windows a value of the item that was changed stands for one value of the
 document. Values left as they are never conflict, and two values may become the same one. A document is contaminated where a
 consistent run of windows of one item at one alignment covers at least ``COVER`` tokens, or the whole of a shorter item; a conflict
@@ -11,8 +14,8 @@ ends a run but does not spoil the windows before or after it.
 The work is two array columns and a join: Spark makes one array of token hashes with their kinds, a numpy step turns it into
 windows and drops those whose hash no benchmark window has, and the remaining windows, with their slots, are joined with the
 benchmark table. That filter is a table of bits built from the benchmark's hashes; beyond ``FILTER_WINDOWS`` windows there is
-no filter and all windows are joined instead. Windows with fewer than ``LITERALS`` literal tokens say too little and are left
-out on both sides; so are items that have no other window.
+no filter and all windows are joined instead. Template windows with fewer than ``LITERALS`` literal tokens say too little and are left
+out on both sides; such passages are found by their plain windows only, word for word.
 
 Documents are told apart by their word sequence, so copies are joined once. Null or empty texts and items match nothing.
 Repeated rows get equal verdicts; repeated items count once; extra columns are ignored; an empty table on either side gives no match.
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import cut, word_key
 
 WINDOW, LITERALS, COVER = 8, 5, 13
+EXACT = 64  # seed that keeps the hashes of plain windows apart
 FILTER_WINDOWS = 5_000_000
 # Units that may follow a number.
 UNITS = (
@@ -39,13 +43,15 @@ UNITS = (
 ).split()
 _NUMBER, _NAME, _UNIT = 1, 2, 3
 _MARK = "\u0001"
+_BLANK = r"[\s\p{Z}]"
 
 
 def tokens(rows: DataFrame) -> DataFrame:
     """Replace ``text`` by ``tokens``: a hash per token whose two low bits name its kind (literal, number, name, unit)."""
     text = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit(_MARK), F.lit(" "))
-    # Begins at a space, so few places are looked at; up to eight spaces may stand before a name.
-    marked = F.regexp_replace(text, r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{Nd},;] {1,8})", f" {_MARK}")
+    text = F.regexp_replace(text, rf"{_BLANK}{{2,}}", " ")
+    # Begins at white space, so few places are looked at.
+    marked = F.regexp_replace(text, rf"{_BLANK}(?=\p{{Lu}}\p{{Ll}})(?<=[\p{{Ll}}\p{{Nd}},;]{_BLANK})", f" {_MARK}")
     rows = rows.withColumn("_tokens", F.array_remove(F.split(F.lower(marked), rf"[^\p{{L}}\p{{M}}\p{{N}}{_MARK}]+"), ""))
     units = F.array(*map(F.lit, UNITS))
 
@@ -55,11 +61,12 @@ def tokens(rows: DataFrame) -> DataFrame:
         unit = (at > 0) & (before < ":") & (before > "\u0002") & F.array_contains(units, token)
         return F.when(token < "\u0002", _NAME).when(token < ":", _NUMBER).when(unit, _UNIT).otherwise(0)
 
-    coded = F.transform("_tokens", lambda token, at: F.xxhash64(token).bitwiseAND(F.lit(-4)).bitwiseOR(kind(token, at).cast("bigint")))
+    plain = lambda token: F.when(token < "\u0002", F.substring(token, 2, 2**31 - 1)).otherwise(token)
+    coded = F.transform("_tokens", lambda token, at: F.xxhash64(plain(token)).bitwiseAND(F.lit(-4)).bitwiseOR(kind(token, at).cast("bigint")))
     return rows.withColumn("tokens", coded).drop("text", "_tokens")
 
 
-def windows(coded: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(coded: np.ndarray, sizes: np.ndarray, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the windows of ``width`` tokens that hold enough literals, with their document and first token."""
     many = np.maximum(sizes - width + 1, 0)
     starts = np.cumsum(sizes) - sizes
@@ -69,7 +76,7 @@ def windows(coded: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarra
     kinds = (coded & 3).astype(np.int64)
     shape = np.where(kinds == 0, coded, kinds).astype(np.int64).view(np.uint64)
     literal = np.append(0, np.cumsum(kinds == 0))
-    out = np.full(len(doc), width, np.uint64)
+    out = np.full(len(doc), width + seed, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
             out = (out ^ shape[at + k]) * np.uint64(0x9E3779B97F4A7C15)
@@ -78,8 +85,12 @@ def windows(coded: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarra
     return out.view(np.int64)[enough], doc[enough], first[enough]
 
 
-def matches(rows: DataFrame, widths: list[int], known: np.ndarray | None) -> DataFrame:
-    """Windows of ``rows(key, text)``: key, hash, first, width, slots. ``known`` filters them by the benchmark's hashes."""
+def matches(rows: DataFrame, widths: list[tuple[bool, int]] | None, known: np.ndarray | None) -> DataFrame:
+    """Windows of ``rows(key, tokens)``, of the given kinds and widths; without them, those of benchmark items.
+
+    key, plain_size, size (tokens of the text, plain and as a template), hash, width, plain (first plain token; null for template
+    windows), first, end (in the template), slots. ``known`` filters them by the benchmark's hashes.
+    """
     bits = None
     if known is not None:
         bits = np.zeros(1 << 24, bool)
@@ -91,28 +102,45 @@ def matches(rows: DataFrame, widths: list[int], known: np.ndarray | None) -> Dat
         bits, known = held.value
         for batch in batches:
             lists = batch.column(1)
-            coded, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            starts = offsets - offsets[0]
-            for width in widths:
-                hashes, doc, first = windows(coded, np.diff(offsets), width)
+            coded, sizes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            plain_starts = np.cumsum(sizes) - sizes
+            folded, folded_sizes, place = template(coded, sizes)
+            starts = np.cumsum(folded_sizes) - folded_sizes
+            for exact, width in widths or [(e, w) for e in (True, False) for w in range(1, WINDOW + 1)]:
+                hashes, doc, first = windows(coded & -4, sizes, width, EXACT) if exact else windows(folded, folded_sizes, width)
+                if widths is None:
+                    own = np.flatnonzero(np.minimum((sizes if exact else folded_sizes)[doc], WINDOW) == width)
+                    hashes, doc, first = hashes[own], doc[own], first[own]
                 if bits is not None:
                     some = np.flatnonzero(bits[hashes & 0xFFFFFF])
                     some = some[known[np.minimum(np.searchsorted(known, hashes[some]), len(known) - 1)] == hashes[some]] if len(known) else some[:0]
                     hashes, doc, first = hashes[some], doc[some], first[some]
                 if len(hashes):
-                    at = starts[doc] + first
-                    held_ = coded[at[:, None] + np.arange(width)]
-                    slots = [row[(row & 3) != 0].tolist() for row in held_]
+                    if exact:
+                        at = plain_starts[doc] + first
+                        plain, low, high, slots = pa.array(first), place[at], place[at + width - 1] + 1, [[]] * len(first)
+                    else:
+                        kept = folded[(starts[doc] + first)[:, None] + np.arange(width)]
+                        plain, low, high, slots = pa.nulls(len(first), pa.int64()), first, first + width, [row[(row & 3) != 0].tolist() for row in kept]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(doc)), pa.array(hashes), pa.array(first), pa.array(np.full(len(first), width)), pa.array(slots, pa.list_(pa.int64()))],
-                        ["key", "hash", "first", "width", "slots"],
-                    )
+                        [
+                            batch.column(0).take(pa.array(doc)), pa.array(sizes[doc]), pa.array(folded_sizes[doc]), pa.array(hashes),
+                            pa.array(np.full(len(first), width)), plain, pa.array(low), pa.array(high), pa.array(slots, pa.list_(pa.int64())),
+                        ],
+                        ["key", "plain_size", "size", "hash", "width", "plain", "first", "end", "slots"],
+                    )
+
+    shape = "key binary, plain_size bigint, size bigint, hash bigint, width bigint, plain bigint, first bigint, end bigint, slots array<bigint>"
+    return rows.select("key", "tokens").mapInArrow(find, shape)
+
 
-    return tokens(rows.select("key", "text")).mapInArrow(find, "key binary, hash bigint, first bigint, width bigint, slots array<bigint>")
+def template(coded: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens of documents given as concatenated tokens, their number in each, and the template token of each token."""
+    return coded, sizes, np.arange(len(coded)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def coverage(found: list[tuple], length: int) -> int:
-    """Most tokens of an item of ``length`` tokens that a consistent run of windows covers; 0 where all windows together are too few.
+    """Most tokens of an item of ``length`` tokens that a consistent run of windows covers; 0 where they are too few.
 
     ``found`` holds (first, end) in the document, (first, end) in the item and the changed slots as (item value, document value).
     """
@@ -165,7 +193,8 @@ def coverage(found: list[tuple], length: int) -> int:
                 best = (sum_, start, i, new)
         for values, value in zip((total, begin, before, gain), best, strict=True):
             values.append(value)
-    return max(total, default=0)
+    most = max(total, default=0)
+    return most if most >= min(length, COVER) else 0
 
 
 def changes(old: list[int], new: list[int]) -> list[tuple] | None:
@@ -178,42 +207,52 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for row in batch.to_pylist():
-            found = []
+            plain, found = [], []
             for w in row["windows"]:
                 changed = changes(w["item_slots"], w["slots"])
                 if changed is not None:
-                    found.append((w["first"], w["first"] + w["width"], w["item_first"], w["item_first"] + w["width"], changed))
-            most = coverage(found, row["length"])
-            if most >= min(row["length"], COVER):
+                    found.append((w["first"], w["end"], w["item_first"], w["item_end"], changed))
+                if w["plain"] is not None:
+                    plain.append((w["plain"], w["plain"] + w["width"], w["item_plain"], w["item_plain"] + w["width"], []))
+            most = coverage(plain, row["plain_size"])
+            if most < row["plain_size"]:
+                most = max(most, coverage(found, row["size"]))
+            if most:
                 out.append((row["key"], row["item_id"], most))
         if out:
             keys, ids, covered = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(covered, pa.int64())], ["key", "item_id", "covered"])
 
 
-def item_windows(items: DataFrame) -> tuple[DataFrame, list[int]]:
-    """Windows of all benchmark items, shorter items as one window, and the widths that occur."""
+def item_windows(items: DataFrame) -> DataFrame:
+    """Windows of all benchmark items, shorter items as one window, with the first word read as it stands and as after another word."""
     rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    rows = rows.withColumn("key", F.unhex(F.md5(F.concat_ws("|", F.col("item_id"), F.col("text")))))
-    lengths = cut(tokens(rows).select("item_id", "key", F.size("tokens").alias("length")).where("length > 0"), "items")
-    widths = sorted(row[0] for row in lengths.select(F.least("length", F.lit(WINDOW))).distinct().collect())  # at most WINDOW values
-    found = matches(rows, widths, None).join(lengths, "key").where(F.col("width") == F.least("length", F.lit(WINDOW)))
-    renamed = found.select("item_id", F.col("key").alias("item"), "length", "hash", "width", F.col("first").alias("item_first"), F.col("slots").alias("item_slots"))
-    return cut(renamed, "item-windows"), widths
+    rows = tokens(rows.withColumn("_text", F.col("text"))).withColumnsRenamed({"tokens": "alone", "_text": "text"})
+    rows = tokens(rows.withColumns({"_text": F.col("text"), "text": F.concat(F.lit("a "), F.ltrim(F.coalesce("text", F.lit(""))))}))
+    after = F.slice("tokens", 2, F.greatest(F.size("tokens") - 1, F.lit(0)))
+    rows = rows.select("item_id", "_text", F.explode(F.array_distinct(F.array("alone", after))).alias("tokens"))
+    rows = rows.withColumn("key", F.unhex(F.md5(F.concat_ws("|", "item_id", "_text", F.array_join(F.col("tokens").cast("array<string>"), " ")))))
+    rows = cut(rows.select("item_id", "key", "tokens"), "items")
+    found = matches(rows, None, None).join(rows.select("key", "item_id"), "key")
+    renamed = found.select("item_id", F.col("key").alias("item"), "plain_size", "size", "hash", "width", *[F.col(c).alias(f"item_{c}") for c in ("plain", "first", "end", "slots")])
+    return cut(renamed, "item-windows")
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Contaminated word sequences: key, item_ids (array), covered (most tokens of one alignment)."""
     texts = docs.select(F.col("text").cast("string").alias("text")).select(word_key("text").alias("key"), "text").where("key IS NOT NULL")
-    asked, widths = item_windows(items)
+    asked = item_windows(items)
+    widths = [tuple(row) for row in asked.select(F.col("item_plain").isNotNull(), "width").distinct().collect()]  # at most twice WINDOW
     known = None
     if asked.select("hash").distinct().count() <= FILTER_WINDOWS:  # bounds what the driver and the tasks hold
         known = np.array([row[0] for row in asked.select("hash").distinct().toLocalIterator()], dtype=np.int64)
-    found = cut(matches(texts, widths, known), "windows").dropDuplicates(["key", "first", "width"])
+    found = matches(tokens(texts), widths or [(True, WINDOW)], known).drop("plain_size", "size")
+    found = cut(found, "windows").dropDuplicates(["key", "plain", "first", "width"])
     pairs = found.join(asked, ["hash", "width"]).where(F.size("slots") == F.size("item_slots"))
     # One item in one text: at most as many windows as the text has at each of the item's.
-    paired = pairs.groupBy("key", "item", "item_id", "length").agg(F.collect_list(F.struct("first", "item_first", "width", "item_slots", "slots")).alias("windows"))
-    kept = paired.select("key", "item_id", F.col("length").cast("int").alias("length"), "windows").mapInArrow(_judge, "key binary, item_id bigint, covered bigint")
+    fields = [f"{side}{c}" for side in ("", "item_") for c in ("plain", "first", "end", "slots")]
+    paired = pairs.groupBy("key", "item", "item_id", "plain_size", "size").agg(F.collect_list(F.struct("width", *fields)).alias("windows"))
+    kept = paired.select("key", "item_id", "plain_size", "size", "windows").mapInArrow(_judge, "key binary, item_id bigint, covered bigint")
     return kept.groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("covered").alias("covered"))
 
 

@@ -27,6 +27,31 @@ def test_a_conflicting_slot_ends_a_run_but_spoils_no_other_window(spark):
 def test_a_run_ends_where_a_changed_value_changes_again():
     window = lambda at, *changed: (at, at + 8, at, at + 8, list(changed))
     assert decontaminate.coverage([window(k, (1, 2)) for k in range(8)], 40) == 15
-    assert decontaminate.coverage([window(k, (1, 2) if k < 4 else (1, 3)) for k in range(8)], 40) == 11
+    assert decontaminate.coverage([window(k, (1, 2) if k < 6 else (1, 3)) for k in range(12)], 40) == 13
     assert decontaminate.coverage([window(0, (1, 2)), window(1), window(2), window(3), window(8, (1, 3))], 40) == 15
     assert decontaminate.coverage([window(0)], 40) == 0
+
+
+def test_word_for_word_copies_are_found_in_any_surrounding(spark):
+    item = "Every morning the baker Anna gives her neighbour Berta fresh bread and takes home some eggs instead"
+    short = "What is the name of the river that flows past this old town"
+    plus, numbers, names = "What is 12 plus 30?", "3 1 4 1 5 9 2 6 5 3 5 8 9 7", "Anna, Berta, Clara, Dora"
+    texts = [
+        item.lower(),
+        item.replace(" Anna", "\nAnna").replace(" Berta", "\r\n\tBerta"),
+        item.replace(" Anna", " " * 30 + "Anna").replace("Berta", "Clara"),
+        "they then asked " + short,
+        f"so {plus}",
+        f"digits {numbers} follow",
+        f"and {names} went",
+        "what is 13 plus 31",
+        "nothing of it",
+    ]
+    found = leaks(spark, [item, short, plus, numbers, names], texts)
+    assert found == {0: [0], 1: [0], 2: [0], 3: [1], 4: [2], 5: [3], 6: [4]}
+
+
+def test_first_word_of_an_item_may_become_a_name(spark):
+    item = "Anna buys 3 loaves and 4 eggs at the market today"
+    found = leaks(spark, [item], ["here it says that " + item.replace("3", "7"), item.replace("3", "7")])
+    assert found == {0: [0], 1: [0]}
