@@ -1,15 +1,17 @@
 """Benchmark decontamination by template canonicalisation (operator 6).
 
 Texts become token templates: numbers, names (capitalised words inside a sentence) and units after a number turn into typed
-placeholders, all else is lower case; punctuation is dropped. Windows of ``WINDOW`` template tokens of the documents are
+placeholders, all else is lower case; punctuation is dropped. Neighbouring numbers (``1,200``, ``2.50``) and neighbouring names
+(``Mary Ann``) are one placeholder. Windows of ``WINDOW`` template tokens of the documents are
 joined by hash with those of the benchmark, so a question asked anew with other numbers or names still meets its item. Beside
 them, in the same join, stand windows of the plain lower-cased tokens: they do not depend on case, line breaks or what precedes a
 word, so whatever is quoted word for word is found, also items that are all numbers or names. The first word of an item may be
 a name or not, depending on what it is quoted after: an item is held against both readings. What a
 slot holds then has to be consistent: within a run of windows a value of the item that was changed stands for one value of the
 document. Values left as they are never conflict, and two values may become the same one. A document is contaminated where a
-consistent run of windows of one item at one alignment covers at least ``COVER`` tokens, or the whole of a shorter item; a conflict
-ends a run but does not spoil the windows before or after it.
+consistent run of windows of one item covers at least ``COVER`` tokens, or the whole of a shorter item; a conflict ends a run but
+does not spoil the windows before or after it. The windows of a run follow each other in item and document; between two of them,
+words may have come in or gone, at most as many as the item has.
 
 The work is two array columns and a join: Spark makes one array of token hashes with their kinds, a numpy step turns it into
 windows and drops those whose hash no benchmark window has, and the remaining windows, with their slots, are joined with the
@@ -136,7 +138,24 @@ def matches(rows: DataFrame, widths: list[tuple[bool, int]] | None, known: np.nd
 
 def template(coded: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Template tokens of documents given as concatenated tokens, their number in each, and the template token of each token."""
-    return coded, sizes, np.arange(len(coded)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    kinds = coded & 3
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    new = np.ones(len(coded), bool)
+    new[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == 0) | (kinds[1:] == _UNIT) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    if not len(at):
+        return coded, sizes, coded
+    # The value of a run of one token is that token; further tokens are mixed in by their place in the run.
+    group = np.cumsum(new) - 1
+    place = (np.arange(len(coded)) - at[group]).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        more = (coded.view(np.uint64) ^ (place * np.uint64(0xBF58476D1CE4E5B9))) * np.uint64(0x9E3779B97F4A7C15)
+        more ^= more >> np.uint64(29)
+        values = np.add.reduceat(np.where(new, coded.view(np.uint64), more), at)
+    folded = (values.view(np.int64) & -4) | kinds[at]
+    folded_sizes = np.bincount(doc[at], minlength=len(sizes)).astype(np.int64)
+    first = np.cumsum(folded_sizes) - folded_sizes
+    return folded, folded_sizes, group - first[doc]
 
 
 def coverage(found: list[tuple], length: int) -> int:
@@ -164,7 +183,7 @@ def coverage(found: list[tuple], length: int) -> int:
             first_i, end_i, low_i, high_i, _ = found[i]
             if first - first_i > 2 * length:
                 break
-            if low_i <= low and first - low == first_i - low_i:
+            if low_i <= low and abs(first - low - first_i + low_i) <= length:
                 new = min(high - max(low, high_i), end - max(first, end_i))
                 if new > 0:
                     options.append((total[i] + new, new, i))
@@ -239,7 +258,7 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Contaminated word sequences: key, item_ids (array), covered (most tokens of one alignment)."""
+    """Contaminated word sequences: key, item_ids (array), covered (most tokens of one run)."""
     texts = docs.select(F.col("text").cast("string").alias("text")).select(word_key("text").alias("key"), "text").where("key IS NOT NULL")
     asked = item_windows(items)
     widths = [tuple(row) for row in asked.select(F.col("item_plain").isNotNull(), "width").distinct().collect()]  # at most twice WINDOW

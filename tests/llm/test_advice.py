@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from firmledger.llm import decontaminate
 
 QUESTION = "If the farmer Anna sells 12 apples for 3 euros each and then pays Anna 5 euros, how much money is left for the market?"
@@ -55,3 +57,25 @@ def test_first_word_of_an_item_may_become_a_name(spark):
     item = "Anna buys 3 loaves and 4 eggs at the market today"
     found = leaks(spark, [item], ["here it says that " + item.replace("3", "7"), item.replace("3", "7")])
     assert found == {0: [0], 1: [0]}
+
+
+def test_slots_may_change_their_number_of_tokens(spark):
+    item = "Yesterday the clerk Anna paid 4 dollars for each of 500 stamps, then 78 more for the parcel that went to the town of her uncle"
+    long = "the old mill by the river grinds the corn of the whole valley and the miller sells flour"
+    texts = [
+        item.replace("4 dollars", "2.50 dollars").replace("500", "1,200").replace("78", "82.5").replace("Anna", "Mary Ann"),
+        item.replace("Anna paid", "Anna quite happily paid").replace("then 78", "and then some 82.5").replace("her uncle", "an aunt"),
+        long.replace("of the whole", "of, as people say, the whole"),
+        "the old mill by the river grinds the corn " + "of other things " * 30 + "the whole valley and the miller sells flour",
+    ]
+    assert leaks(spark, [item, long], texts) == {0: [0], 1: [0], 2: [1]}
+
+
+def test_runs_of_numbers_and_names_are_one_placeholder():
+    kinds = [0, 1, 1, 0, 2, 2, 2, 3, 3, 2, 1, 1]
+    coded = np.array([(k + 5) * 4 + kind for k, kind in enumerate(kinds)], np.int64)
+    folded, sizes, place = decontaminate.template(coded, np.array([6, 0, 6]))
+    assert (folded & 3).tolist() == [0, 1, 0, 2, 2, 3, 3, 2, 1] and sizes.tolist() == [4, 0, 5]
+    assert place.tolist() == [0, 1, 1, 2, 3, 3, 0, 1, 2, 3, 4, 4]
+    assert folded[4] == coded[6] and folded[1] != coded[1]
+    assert [len(x) for x in decontaminate.template(coded[:0], np.array([0, 0]))] == [0, 2, 0]
