@@ -1,10 +1,11 @@
 """ProbMinHash near-duplicate classes (operator 5).
 
-Documents are weighted sets of five-word shingles, the weight being how often a shingle occurs. A ProbMinHash signature keeps,
+Documents are sets of five-word shingles. A ProbMinHash signature keeps,
 in each of ``ROWS * BANDS`` registers, the shingle of the earliest arrival of a Poisson process whose rate is the weight: two
 signatures agree in a register with the probability Jaccard similarity of the documents. Arrivals are drawn in rounds for all
 documents of an Arrow batch at once, and a shingle stops as soon as its next arrival is later than every register of its
-document. Bands of registers then propose pairs, and exact Jaccard similarity of the shingle sets decides (0.8 or more).
+document. Every distinct shingle has weight 1 here, so that registers agree with the very similarity that decides: weights by number
+of occurrences would keep texts apart that repeat a passage differently. Bands of registers then propose pairs, and exact Jaccard similarity of the shingle sets decides (0.8 or more).
 
 Equal word sequences are one node, so thousands of copies cost one row. Inside a band bucket nodes are held against leaders,
 not against each other:
@@ -60,14 +61,17 @@ def shingle_hashes(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, n
     return out, doc
 
 
-def signatures(shingles: np.ndarray, doc: np.ndarray, docs: int, registers: int) -> np.ndarray:
-    """ProbMinHash signatures of all documents: a table documents x registers of shingle hashes."""
+def signatures(shingles: np.ndarray, doc: np.ndarray, docs: int, registers: int, weighted: bool = True) -> np.ndarray:
+    """ProbMinHash signatures of all documents: a table documents x registers of shingle hashes.
+
+    The weight of a shingle is how often it occurs, or 1 where not ``weighted``.
+    """
     order = np.lexsort((shingles, doc))
     shingles, doc = shingles[order], doc[order]
     new = np.ones(len(shingles), bool)
     new[1:] = (shingles[1:] != shingles[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
-    weight = np.diff(np.append(at, len(shingles))).astype(float)
+    weight = np.diff(np.append(at, len(shingles))).astype(float) if weighted else np.ones(len(at))
     element, owner = shingles[at], doc[at]
     best_time = np.full(docs * registers, np.inf)
     best = np.zeros(docs * registers, np.uint64)
@@ -107,7 +111,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             sizes = np.diff(lists.offsets.to_numpy())
             hashes, doc = shingle_hashes(flat, sizes)
-            bands = band_hashes(signatures(hashes, doc, len(sizes), BANDS * ROWS))
+            bands = band_hashes(signatures(hashes, doc, len(sizes), BANDS * ROWS, weighted=False))
             offsets = pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
                 [own.column(0), pa.ListArray.from_arrays(offsets, pa.array(bands.reshape(-1)))], ["key", "bands"]
