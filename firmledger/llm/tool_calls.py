@@ -4,8 +4,8 @@ Calls and results are tables; nothing collects a conversation.
 
 - Linking is a hash join on (conv_id, call_id). A call's result is the earliest with its identifier; results that repeat an
   identifier or answer no call are counted or listed, never guessed about.
-- Order: calls stand in the order of their turns wherever no call depends on a later one. Conversations where one does are put
-  in order by peeling: a round gives a level to each call whose dependencies all have one. A round per level of such a
+- Order: calls stand in the order of their turns wherever every call depends on earlier turns only. Conversations where one depends
+  on its own turn or a later one, or where a turn is null, are put in order by peeling: a round gives a level to each call whose dependencies all have one. A round per level of such a
   conversation is needed; calls that no round reaches are on or behind a cycle and come last, marked as such.
 - Arguments are parsed as a variant. Each required name must be there, every value must have the declared type, and no other
   name may occur. Canonical JSON has sorted keys, no spaces and numbers in shortest form.
@@ -56,7 +56,7 @@ def ordered(calls: DataFrame) -> DataFrame:
     edges = calls.select("conv_id", F.col("turn").alias("own"), F.col("call_id"), F.explode("depends_on").alias("on"))
     targets = calls.select("conv_id", F.col("call_id").alias("on"), F.col("turn").alias("other"))
     edges = cut(edges.join(targets, ["conv_id", "on"]), "call-edges")
-    wrong = edges.where("other > own OR on = call_id").select("conv_id").distinct()
+    wrong = edges.where("other >= own OR other IS NULL OR own IS NULL").select("conv_id").distinct()
     nodes = cut(calls.join(wrong, "conv_id", "left_semi").select("conv_id", "call_id"), "call-nodes")
     levels, number = None, 1
     if not nodes.isEmpty():
