@@ -2,7 +2,8 @@
 
 Both vocabularies end a token wherever white space follows something else, so a text may be cut there and its pieces encoded
 one by one: the ids are those of the whole text. Plain words with trailing signs go to the library's model directly; any
-other piece, and any text whose white space is not single spaces and line breaks, goes through the library whole.
+other piece, and any text whose white space is not single spaces and line breaks or that holds an added token of the vocabulary
+(``<|endoftext|>``), goes through the library whole.
 """
 
 from __future__ import annotations
@@ -79,7 +80,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Some vocabularies look for added tokens in the lower-cased text.
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
         # A vocabulary with a word-end suffix drops white space and case; the other keeps a space before a word.
         self.drops_space = bool(getattr(self.tokenizer.model, "end_of_word_suffix", None))
         self.words = _Memo(self.tokenizer.model)
@@ -99,6 +102,8 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.added.search(text):
+            return self.whole(text)
         if self.drops_space:
             return b"".join(map(self.at_start.__getitem__, text.replace("\n", " ").split(" ")))
         if _ODD_SPACE.search(text):
