@@ -11,6 +11,8 @@ from .decontaminate import benchmark_leaks
 from .encode import vocabulary
 from .licenses import license_notices
 from .licenses import oracle_sql as license_sql
+from .merkle import merkle_manifest
+from .merkle import oracle_sql as merkle_sql
 from .near_dups import near_duplicates
 from .packing import pack
 from .quality_gbt import quality_scores
@@ -74,10 +76,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and folded root of every document."""
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: value for name, value in globals().items() if name.startswith("op") and callable(value)}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
 
 
 def sql() -> dict[str, str]:
-    return {"op3_license_notices": license_sql(), "op8_tool_call_linking": CALLS_SQL}
+    return {"op3_license_notices": license_sql(), "op8_tool_call_linking": CALLS_SQL, "op11_merkle_manifest": merkle_sql()}
