@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import benchmark_leaks
 from .encode import vocabulary
+from .exact_search import ORACLE_SQL as SEARCH_SQL
+from .exact_search import nearest
 from .licenses import license_notices
 from .licenses import oracle_sql as license_sql
 from .merkle import merkle_manifest
@@ -81,10 +83,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_histogram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best inner products of every fiftieth vector against all others."""
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: value for name, value in globals().items() if name.startswith("op") and callable(value)}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
 
 
 def sql() -> dict[str, str]:
-    return {"op3_license_notices": license_sql(), "op8_tool_call_linking": CALLS_SQL, "op11_merkle_manifest": merkle_sql()}
+    return {"op3_license_notices": license_sql(), "op8_tool_call_linking": CALLS_SQL, "op11_merkle_manifest": merkle_sql(), "op12_histogram_search": SEARCH_SQL}
