@@ -19,13 +19,14 @@ from .near_dups import near_duplicates
 from .packing import pack
 from .quality_gbt import quality_scores
 from .quality_rules import quality_rules
+from .token_alignment import alignment
 from .token_histogram import token_histogram
 from .token_records import token_records
 from .tool_calls import ORACLE_SQL as CALLS_SQL
 from .tool_calls import linked_conversations
 from .warc import warc_round_trip
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +89,11 @@ def op12_histogram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level and piece tokens of all documents, aligned, with corpus counts of linked pairs."""
+    return alignment(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), vocabulary(PIECE_BPE))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: value for name, value in globals().items() if name.startswith("op") and callable(value)}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
