@@ -24,6 +24,15 @@ def _key() -> F.Column:
     return F.col("page_id")
 
 
+def page_org() -> F.Column:
+    return (_key() + b.PAGE_ORG_BASE).cast("string")
+
+
+def every_page(n: int, text: F.Column) -> F.Column:
+    """A text on every n-th page."""
+    return F.when(F.pmod(_key(), F.lit(n)) == 0, text).otherwise(F.lit(""))
+
+
 def page_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """The page table as fetched snapshots, with known links and footer lines added by page number."""
     key, number = _key(), _key().cast("string")
@@ -516,31 +525,49 @@ def vacancy_counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter(F.col("vacancies") > 0)
 
 
+def careers_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Careers pages around the table's own pages: cards of several shapes, and a posting on every second page."""
+    number = _key().cast("string")
+    posting = every_page(
+        2,
+        F.concat(
+            F.lit('<script type="application/ld+json">{"@type":"JobPosting","title":"Selger i butikk","validThrough":"2024-03-01","url":"https://jobb.no/'),
+            number, F.lit('","hiringOrganization":{"name":"Kunde Handel"}}</script>'),
+        ),
+    )
+    apply = every_page(3, F.concat(F.lit('<p><a href="/sok?id='), number, F.lit('">Søk nå</a>')))
+    employer = F.when(F.pmod(_key(), F.lit(4)) < 2, F.lit("hos Kunde Handel")).otherwise(F.lit("hos noen andre"))
+    body = F.concat(
+        F.lit('<html><body><div class="side">'), posting, F.lit('<ul><li><div><h3><a href="/stillinger/selger-'), number, F.lit('">Selger til lager</a></h3><p>'), employer,
+        F.lit("<p>Frist 01.03.2024"), apply, F.lit('</div><li><a href="/stillinger/uten-dato">Leder uten dato</a></li>'),
+        # Generic, outside a careers section, two roles around one date, and a whole card in one anchor.
+        F.lit('<li><a href="/stillinger">Ledige stillinger</a> 01.03.2024<li><a href="/om/selger-to">Selger nummer to</a> 01.03.2024</ul>'),
+        F.lit('<section>Frist 02.03.2024 <a href="/jobb/kokk-a">Kokk en</a> <a href="/jobb/kokk-b">Kokk to</a></section>'),
+        F.lit('<article><a href="/karriere/jobb/butikk-sjef/">Butikk-sjef Bergen Kunde Handel 05.03.2023</a></article></div></body></html>'),
+    )
+    return src.page_events(page_snapshots(spark, d).withColumn("html", body).withColumn("status_code", F.lit(200)))
+
+
 @check(
     "P10_job_cards",
     sql=b.with_ctes(
         PAGE_SQL,
-        """SELECT org, 'dated_role_card' AS method, concat(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*'), '/stillinger/selger-', k) AS role_url, '01.03.2024' AS deadline_raw FROM p
-          UNION ALL SELECT org, 'jsonld_job_posting', concat('https://jobb.no/', k), '2024-03-01' FROM p WHERE k % 2 = 0""",
+        """site AS (SELECT org, k, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*') AS home FROM p)
+          SELECT org, 'dated_role_card' AS method, 'Selger til lager' AS title, concat(home, '/stillinger/selger-', k) AS role_url, '01.03.2024' AS deadline_raw,
+            concat(home, CASE k % 3 WHEN 0 THEN '/sok?id=' ELSE '/stillinger/selger-' END, k) AS application_url,
+            CASE k % 3 WHEN 0 THEN 'explicit_apply_link' ELSE 'role_detail_link' END AS action_type,
+            concat('Selger til lager hos ', CASE WHEN k % 4 < 2 THEN 'Kunde Handel' ELSE 'noen andre' END, ' Frist 01.03.2024', CASE k % 3 WHEN 0 THEN ' Søk nå' ELSE '' END) AS employer_context FROM site
+          UNION ALL SELECT org, 'dated_role_card', 'Butikk-sjef Bergen Kunde Handel 05.03.2023', concat(home, '/karriere/jobb/butikk-sjef/'), '05.03.2023',
+            concat(home, '/karriere/jobb/butikk-sjef/'), 'role_detail_link', 'Butikk-sjef Bergen Kunde Handel 05.03.2023' FROM site
+          UNION ALL SELECT org, 'jsonld_job_posting', 'Selger i butikk', concat('https://jobb.no/', k), '2024-03-01', concat('https://jobb.no/', k), 'structured_job_posting', 'Kunde Handel'
+            FROM site WHERE k % 2 = 0""",
     ),
 )
 def job_cards(spark: SparkSession, d: str) -> DataFrame:
-    """Careers pages around the table's own pages: one dated card, one undated card, and a posting on every second page."""
-    number = _key().cast("string")
-    posting = F.when(
-        F.pmod(_key(), F.lit(2)) == 0,
-        F.concat(
-            F.lit('<script type="application/ld+json">{"@type":"JobPosting","title":"Selger i butikk","validThrough":"2024-03-01","url":"https://jobb.no/'),
-            number, F.lit('","hiringOrganization":{"name":"Kunde"}}</script>'),
-        ),
-    ).otherwise(F.lit(""))
-    body = F.concat(
-        F.lit("<html><body>"), posting, F.lit('<ul><li><a href="/stillinger/selger-'), number,
-        F.lit('">Selger til lager</a> Frist 01.03.2024</li><li><a href="/stillinger/uten-dato">Leder uten dato</a></li>'),
-        F.lit('<li><a href="/stillinger">Ledige stillinger</a> 01.03.2024</li></ul></body></html>'),
+    found = careers_pages(spark, d)
+    return site.job_cards(src.page_links(found), found).select(
+        "org", "method", "title", "role_url", "deadline_raw", "application_url", "action_type", "employer_context"
     )
-    found = src.page_events(page_snapshots(spark, d).withColumn("html", body).withColumn("status_code", F.lit(200)))
-    return site.job_cards(src.page_links(found), found).select("org", "method", "role_url", "deadline_raw")
 
 
 @check(

@@ -13,6 +13,7 @@ from ..functions.web import (
     bare_host, hosts_related, is_http, normalize_homepage, path_segments, registered_domain, resolve_link, url_host, url_path,
 )
 from ..model import CLAIM, EVIDENCE, OBSERVATION, conform
+from ..sources.pages import CARD_DATE
 
 # Link terms in order of interest.
 PRIORITY_TERMS = (
@@ -447,7 +448,7 @@ def vacancy_count(text: Column, most: int = 500) -> Column:
     return F.coalesce(F.array_max(counts), F.lit(0))
 
 
-CARD_DATE = r"\b((?:20\d{2}-[01]?\d-[0-3]?\d|[0-3]?\d[./-][01]?\d[./-](?:20)?\d{2}))\b"
+# Path segments of careers sections, anchors that name no role, and wording of an apply link.
 CAREER_SEGMENTS = (
     "career", "careers", "karriere", "jobb", "jobber", "jobs", "stilling", "stillinger", "ledige-stillinger", "vacancy", "vacancies",
 )
@@ -455,6 +456,7 @@ GENERIC_ROLE_ANCHORS = (
     "jobb", "jobber", "jobs", "karriere", "career", "careers", "ledige stillinger", "stillinger", "vacancies", "vacancy", "les mer",
     "read more", "se mer",
 )
+APPLY_WORDING = ("søk på stillingen", "søk stillingen", "send søknad", "søk nå", "apply now", "apply for", "apply")
 
 
 def _role_title(title: Column) -> Column:
@@ -463,43 +465,113 @@ def _role_title(title: Column) -> Column:
     return (bare != "") & ~bare.isin(*GENERIC_ROLE_ANCHORS) & ((words >= 2) | ((words == 1) & (F.length(bare) >= 5)))
 
 
-def job_cards(links: DataFrame, events: DataFrame, limit: int | None = None) -> DataFrame:
-    """Role cards of a page: JSON-LD postings first, then dated cards around a role link, ranked per page as ``pick``.
+def _plain_letters(words: Column) -> Column:
+    """Words in lower case with the three Norwegian letters spelled out."""
+    return F.transform(words, lambda word: F.translate(F.replace(F.lower(word), F.lit("æ"), F.lit("ae")), "øå", "oa"))
 
-    A link on the company's own host must lead below a careers section. Publication needs the current-jobs rules.
+
+def title_before_details(title: Column, url: Column) -> Column:
+    """The leading words of a role anchor that its address spells out; the anchor as it is where it does not.
+
+    Anchors around whole cards go on with place, employer and deadline. An address of more than eight words, or a bare number, names no title.
+    """
+    last = F.coalesce(F.try_element_at(path_segments(url), F.lit(-1)), F.lit(""))
+    last = F.lower(F.coalesce(F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))), last))
+    named = F.filter(F.split(last, "[-_]+"), lambda word: word != "")
+    anchor = F.regexp_extract_all(title, F.lit(r"(?U)([\w-]+)"), F.lit(1))
+    count = F.size(named)
+    lead = F.slice(anchor, F.lit(1), F.greatest(count, F.lit(0)))
+    spelled = count.between(1, 8) & ~last.rlike("^[0-9]+$") & (F.size(anchor) >= count) & (_plain_letters(lead) == _plain_letters(named))
+    short = F.array_join(lead, " ")
+    return F.when(spelled & _role_title(short), short).otherwise(title)
+
+
+_PAGE = ("org", "final_url", "content_sha256", "retrieved_at")
+
+
+def role_cards(links: DataFrame, events: DataFrame) -> DataFrame:
+    """Role links with the smallest dated element around them that holds no other role link, as ranges over the page.
+
+    An element holds the links ``first_link`` to ``end_link``, so the number of role links in it is the difference of two running
+    counts, and the apply link of a card is the next one from its first link on. Nothing is compared in pairs: every element
+    looks up its two ends.
     """
     segments = path_segments(F.col("url"))
     marked = F.transform(segments, lambda part, index: F.when(part.isin(*CAREER_SEGMENTS), index).otherwise(F.lit(-1)))
     last = F.array_max(marked)
     below = F.coalesce((last >= 0) & (last < F.size(segments) - 1), F.lit(False))
     own = hosts_related(bare_host(F.col("url")), bare_host(F.col("final_url")))
-    title = squash(F.col("anchor_text"))
-    context = F.when(title.rlike(CARD_DATE), title).otherwise(squash(F.col("card_text")))
-    cards = links.filter(is_http(F.col("url"))).select(
-        "org", "final_url", "content_sha256", "retrieved_at", title.alias("title"), F.col("url").alias("role_url"),
-        F.regexp_extract(context, CARD_DATE, 1).alias("deadline_raw"), context.alias("employer_context"),
-        F.lit("").alias("hiring_organisation"), F.lit("dated_role_card").alias("method"), F.struct(F.lit(1).alias("part"), F.col("position").alias("at")).alias("_at"),
-        (~own | below).alias("_place"),
-    )
-    cards = cards.filter(
-        F.col("_place") & (F.col("deadline_raw") != "") & _role_title(F.col("title"))
-    ).drop("_place")
-    posting = events.filter(F.size("job_postings") > 0).select(
-        "org", "final_url", "content_sha256", "retrieved_at", F.posexplode("job_postings").alias("_i", "node")
+    anchor = squash(F.col("anchor_text"))
+    applying = F.lit(False)
+    for wording in APPLY_WORDING:
+        applying = applying | F.contains(squash_lower(F.col("anchor_text")), F.lit(wording))
+    rows = links.dropDuplicates([*_PAGE, "position"]).select(
+        *_PAGE, "position", "scope", "url", F.when(own, title_before_details(anchor, F.col("url"))).otherwise(anchor).alias("title"),
+        (is_http(F.col("url")) & (~own | below)).alias("_place"), (applying & is_http(F.col("url"))).alias("_apply"),
+    )
+    rows = with_stage(rows, "_role", F.coalesce(F.col("_place") & ~F.col("_apply") & _role_title(F.col("title")), F.lit(False)))
+    order = Window.partitionBy(*_PAGE).orderBy("position")
+    so_far, from_here = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumns(
+        {
+            "rank": F.sum(F.col("_role").cast("int")).over(so_far),
+            "role_scope": F.last(F.when(F.col("_role"), F.col("scope")), ignorenulls=True).over(so_far),
+            "apply": F.min(F.when(F.col("_apply"), F.struct("position", "url"))).over(from_here),
+        }
+    )
+    marks = rows.groupBy(*_PAGE).agg(F.array_sort(F.collect_list(F.struct("position", "rank", "role_scope", "apply"))).alias("_marks"))
+    pages = events.dropDuplicates(list(_PAGE)).filter(F.size("elements") > 0).select(*_PAGE, "elements", "runs").join(marks, list(_PAGE))
+
+    def counted(element: Column, at: Column) -> Column:
+        inside, before = F.get("_marks", element["end_link"] - 1), F.get("_marks", element["first_link"] - 1)
+        apply = F.get("_marks", element["first_link"])["apply"]
+        return F.struct(
+            inside["rank"].alias("rank"), (inside["rank"] - F.coalesce(before["rank"], F.lit(0))).alias("roles"), (inside["role_scope"] == element["scope"]).alias("near"),
+            element["dated"].alias("dated"), F.when(apply["position"] < element["end_link"], apply["url"]).alias("apply_url"),
+            (element["end"] - element["start"]).alias("width"), at.alias("at"), element["start"].alias("start"),
+        )
+
+    spans = F.filter(F.transform("elements", counted), lambda e: (e["roles"] == 1) & e["near"] & (e["dated"] >= 0))
+    held = pages.select(*_PAGE, F.explode(spans).alias("_span"))
+    # Elements are listed inner ones first, so of equally wide ones the innermost has the smallest place.
+    picked = held.groupBy(*_PAGE, F.col("_span.rank").alias("rank")).agg(F.min_by("_span", F.struct("_span.width", "_span.at")).alias("_span"))
+    per_page = picked.groupBy(*_PAGE).agg(F.collect_list("_span").alias("_spans"))
+
+    def shown(span: Column) -> Column:
+        text = F.array_join(F.slice("runs", span["start"] + 1, span["width"]), " ")
+        return F.struct(span["rank"].alias("rank"), text.alias("context"), F.get("runs", span["dated"]).alias("dated"), span["apply_url"].alias("apply_url"))
+
+    texts = pages.select(*_PAGE, "runs").join(per_page, list(_PAGE)).select(*_PAGE, F.inline(F.transform("_spans", shown)))
+    roles = rows.filter("_role").select(*_PAGE, "position", "url", "title", "rank")
+    return roles.join(texts, [*_PAGE, "rank"])
+
+
+def job_cards(links: DataFrame, events: DataFrame, limit: int | None = None) -> DataFrame:
+    """Role cards of a page: JSON-LD postings first, then dated cards around a role link, ranked per page as ``pick``.
+
+    A link on the company's own host must lead below a careers section. Publication needs the current-jobs rules.
+    """
+    cards = role_cards(links, events).select(
+        *_PAGE, "title", F.col("url").alias("role_url"), F.regexp_extract("dated", CARD_DATE, 1).alias("deadline_raw"), squash(F.col("context")).alias("employer_context"),
+        F.lit("").alias("hiring_organisation"), F.lit("dated_role_card").alias("method"), F.coalesce("apply_url", "url").alias("application_url"),
+        F.when(F.col("apply_url").isNotNull(), "explicit_apply_link").otherwise("role_detail_link").alias("action_type"),
+        F.struct(F.lit(1).alias("part"), F.col("position").alias("at")).alias("_at"),
     )
+    posting = events.filter(F.size("job_postings") > 0).select(*_PAGE, F.posexplode("job_postings").alias("_i", "node"))
 
     def member(path: str) -> Column:
         return squash(F.get_json_object("node", path))
 
+    address = resolve_link(F.col("final_url"), member("$.url"))
     structured = posting.select(
-        "org", "final_url", "content_sha256", "retrieved_at", member("$.title").alias("title"),
-        resolve_link(F.col("final_url"), member("$.url")).alias("role_url"), member("$.validThrough").alias("deadline_raw"),
+        *_PAGE, member("$.title").alias("title"), address.alias("role_url"), member("$.validThrough").alias("deadline_raw"),
         member("$.hiringOrganization.name").alias("employer_context"), member("$.hiringOrganization.name").alias("hiring_organisation"),
-        F.lit("jsonld_job_posting").alias("method"), F.struct(F.lit(0).alias("part"), F.col("_i").alias("at")).alias("_at"),
+        F.lit("jsonld_job_posting").alias("method"), address.alias("application_url"), F.lit("structured_job_posting").alias("action_type"),
+        F.struct(F.lit(0).alias("part"), F.col("_i").alias("at")).alias("_at"),
     ).filter(_role_title(F.col("title")) & (F.col("deadline_raw") != "") & is_http(F.col("role_url")))
     rows = structured.unionByName(cards)
     first = _once(rows.withColumn("_key", F.lower("title")), ["org", "final_url", "_key", "role_url"], F.col("_at"))
-    return _leading(first.drop("_key"), ["org", "final_url"], [F.col("_at")], limit).withColumn("application_url", F.col("role_url"))
+    return _leading(first.drop("_key"), ["org", "final_url"], [F.col("_at")], limit)
 
 
 # --- A20, U7: crawl ledger -----------------------------------------------------------------------------------
