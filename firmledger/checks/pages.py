@@ -34,13 +34,14 @@ def every_page(n: int, text: F.Column) -> F.Column:
 
 
 def page_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """The page table as fetched snapshots, with known links and footer lines added by page number."""
+    """The page table as fetched snapshots, with known links, body and footer lines added by page number."""
     key, number = _key(), _key().cast("string")
     host = url_host(F.col("url"))
 
-    def every(n: int, text: F.Column) -> F.Column:
-        return F.when(F.pmod(key, F.lit(n)) == 0, text).otherwise(F.lit(""))
+    def every(n: int, text: F.Column, rest: int = 0) -> F.Column:
+        return F.when(F.pmod(key, F.lit(n)) == rest, text).otherwise(F.lit(""))
 
+    own = (key + b.PAGE_ORG_BASE).cast("string")
     links = F.concat(
         every(2, F.lit('<li><a href="/om-oss">Om oss</a></li>')),
         every(3, F.lit('<li><a href="/karriere/ledige-stillinger">Ledige stillinger</a></li>')),
@@ -48,7 +49,6 @@ def page_snapshots(spark: SparkSession, d: str) -> DataFrame:
         every(5, F.concat(F.lit('<li><a href="https://www.facebook.com/side'), number, F.lit('">Facebook</a></li>'))),
         every(6, F.lit('<li><a href="/personvern?a=1#b">Personvern</a></li>')),
     )
-    own = (key + b.PAGE_ORG_BASE).cast("string")
     footer = F.concat(
         F.when(F.pmod(key, F.lit(10)) == 0, F.concat(F.lit(" Org.nr: "), own)).otherwise(F.lit("")),
         F.when(F.pmod(key, F.lit(10)) == 5, F.lit(" Org.nr: 899999999")).otherwise(F.lit("")),
@@ -56,7 +56,15 @@ def page_snapshots(spark: SparkSession, d: str) -> DataFrame:
         every(8, F.lit(" 3 ledige stillinger")),
         every(9, F.lit(" Storgata 1, Lillehammerby")),
     )
+    own_name = F.concat(company_name(), F.lit(" i "), municipality())
+    body = F.concat(
+        every(17, F.lit("<p>This domain is for sale.</p>"), 5),
+        every(11, F.lit("<p>Nettsiden eies av Annet Selskap AS.</p>"), 3),
+        every(13, F.concat(F.lit("<p>Firma "), own, F.lit("</p>")), 4),
+        every(9, F.concat(F.lit("<p>"), own_name, F.lit(".</p>")), 5),
+    )
     html = F.replace(F.col("html"), F.lit("<nav><ul>"), F.concat(F.lit("<nav><ul>"), links))
+    html = F.replace(html, F.lit("<article>"), F.concat(F.lit("<article>"), body))
     html = F.replace(html, F.lit("</footer>"), F.concat(footer, F.lit("</footer>")))
     return b.table(spark, d, "pages").select(
         own.alias("org"), "page_id", F.col("url").alias("requested_url"), F.col("url").alias("final_url"),
@@ -66,18 +74,26 @@ def page_snapshots(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def page_entities(spark: SparkSession, d: str) -> DataFrame:
-    """One company per page: named after the host, after the host with a stray word, or not at all."""
+def company_name() -> F.Column:
+    """Named after the host, after the host with a stray word, or not at all."""
     labels = F.replace(F.replace(url_host(F.col("url")), F.lit("www."), F.lit("")), F.lit("."), F.lit(" "))
-    words = F.regexp_replace(labels, " [a-z]+$", "")
-    name = (
+    words = F.initcap(F.regexp_replace(labels, " [a-z]+$", ""))
+    return (
         F.when(F.pmod(_key(), F.lit(4)) == 3, F.concat(F.lit("Kunde Annet "), _key().cast("string"), F.lit(" AS")))
-        .when(F.pmod(_key(), F.lit(4)) == 2, F.concat(F.initcap(words), F.lit(" Xyzzy AS")))
-        .otherwise(F.concat(F.initcap(words), F.lit(" AS")))
+        .when(F.pmod(_key(), F.lit(4)) == 2, F.concat(words, F.lit(" Xyzzy AS")))
+        .otherwise(F.concat(words, F.lit(" AS")))
     )
+
+
+def municipality() -> F.Column:
+    return F.when(F.pmod(_key(), F.lit(2)) == 0, F.lit("Lillehammerby")).otherwise(F.lit("Bergstad"))
+
+
+def page_entities(spark: SparkSession, d: str) -> DataFrame:
+    """One company per page."""
     return b.table(spark, d, "pages").select(
-        (_key() + b.PAGE_ORG_BASE).cast("string").alias("org"), "page_id", name.alias("name"),
-        F.when(F.pmod(_key(), F.lit(2)) == 0, F.lit("Lillehammerby")).otherwise(F.lit("Bergstad")).alias("municipality"),
+        (_key() + b.PAGE_ORG_BASE).cast("string").alias("org"), "page_id", company_name().alias("name"),
+        municipality().alias("municipality"),
         F.concat(url_host(F.col("url")), F.lit("/")).alias("website"),
         F.when(F.pmod(_key(), F.lit(20)) == 0, F.lit("Eie og forvalte aksjer")).otherwise(F.lit("Handel")).alias("registry_purpose"),
     )
@@ -87,28 +103,38 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return stored(spark, d, "page-events", lambda: src.page_events(page_snapshots(spark, d)))
 
 
-PAGE_SQL = r"""p AS (
+PAGE_SQL = r"""raw AS (
   SELECT page_id AS k, CAST(810000000 + page_id AS VARCHAR) AS org, url,
     lower(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1), ':[0-9]*$', '')) AS host,
-    regexp_extract(html, '<title>([^<]*)</title>', 1) AS raw_title, html,
+    regexp_extract(html, '<title>([^<]*)</title>', 1) AS raw_title, html AS raw_html,
     array_to_string(string_split(host, '.')[-2:], '.') AS domain,
-    page_id % 50 <> 49 AS ok
+    page_id % 50 <> 49 AS ok,
+    regexp_replace(replace(replace(host, 'www.', ''), '.', ' '), ' [a-z]+$', '') AS words,
+    CASE k % 4 WHEN 3 THEN concat('kunde annet ', k) WHEN 2 THEN concat(words, ' xyzzy') ELSE words END AS low_name
   FROM pages
+), p AS (
+  SELECT *, replace(raw_html, '<article>', concat('<article>', CASE k % 17 WHEN 5 THEN '<p>This domain is for sale.</p>' ELSE '' END,
+      CASE k % 11 WHEN 3 THEN '<p>Nettsiden eies av Annet Selskap AS.</p>' ELSE '' END, CASE k % 13 WHEN 4 THEN concat('<p>Firma ', org, '</p>') ELSE '' END,
+      CASE k % 9 WHEN 5 THEN concat('<p>', array_to_string(list_transform(string_split(concat(low_name, ' as'), ' '), lambda w: CASE w WHEN 'as' THEN 'AS' ELSE concat(upper(w[1:1]), w[2:]) END), ' '),
+        ' i ', CASE k % 2 WHEN 0 THEN 'Lillehammerby' ELSE 'Bergstad' END, '.</p>') ELSE '' END)) AS html,
+    regexp_replace(regexp_extract(html, '(?s)<body>(.*?)(</body>|$)', 1), '(?s)<(nav|footer)>.*?</(nav|footer)>', ' ', 'g') AS body
+  FROM raw
 ), named AS (
-  SELECT p.*, regexp_replace(replace(replace(host, 'www.', ''), '.', ' '), ' [a-z]+$', '') AS words,
-    CASE k % 4 WHEN 3 THEN concat('kunde annet ', k) WHEN 2 THEN concat(words, ' xyzzy') ELSE words END AS low_name,
+  SELECT p.*,
     list_filter(regexp_extract_all(low_name, '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ('as','asa','ans','da','enk','iks','sa','sam','sti','stiftelsen',
       'nuf','ab','b','v','limited','ltd','inc','plc','the','og','and')) AS core,
     regexp_extract_all(host, '[a-z0-9]+') AS host_tokens
   FROM p
 ), overlap AS (
   SELECT *, len(list_distinct(list_filter(list_distinct(core), lambda t: list_contains(host_tokens, t) OR list_contains(footer_tokens, t)
-      OR list_contains(title_tokens, t)))) AS hits
+      OR list_contains(title_tokens, t) OR list_contains(body_tokens, t)))) AS hits,
+    list_has_all(host_tokens, core) OR list_has_all(footer_tokens, core) OR list_has_all(title_tokens, core) AS at_home
   FROM (SELECT *, regexp_extract_all(lower(regexp_extract(html, '<footer>(.*)</footer>', 1)), '[a-z0-9]+') AS footer_tokens,
-    regexp_extract_all(lower(strip_accents(raw_title)), '[a-z0-9]+') AS title_tokens FROM named)
+    regexp_extract_all(lower(strip_accents(raw_title)), '[a-z0-9]+') AS title_tokens,
+    regexp_extract_all(replace(lower(strip_accents(regexp_replace(regexp_replace(body, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>|&[a-z]+;', ' ', 'g'))), 'ß', ''), '[a-z0-9]+') AS body_tokens FROM named)
 ), assessed AS (
-  SELECT *, CASE WHEN k % 10 = 5 THEN 0.1 WHEN k % 10 = 0 THEN 1.0
-      WHEN len(core) >= 2 AND hits = len(list_distinct(core)) THEN 0.95
+  SELECT *, CASE WHEN k % 17 = 5 THEN 0.1 WHEN k % 10 = 5 THEN 0.1 WHEN k % 10 = 0 THEN 1.0 WHEN k % 11 = 3 AND len(core) > 0 THEN 0.1 WHEN k % 13 = 4 THEN 1.0
+      WHEN len(core) >= 2 AND at_home THEN 0.95
       WHEN hits >= 2 AND hits / len(list_distinct(core)) >= 0.75 THEN 0.85
       WHEN hits >= 2 AND hits / len(list_distinct(core)) >= 0.5 THEN 0.65 ELSE 0.3 END AS score
   FROM overlap WHERE ok
@@ -131,10 +157,10 @@ def page_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sites(spark: SparkSession, d: str) -> DataFrame:
-    """Home pages as candidate sites; the main text is left to the extraction check."""
+    """Home pages as candidate sites, with their whole bodies."""
     return events(spark, d).filter(F.col("status") == "available").select(
         "org", F.col("org").alias("site_id"), "final_url", "registered_domain", "title", "description", "identity_text",
-        F.lit("").alias("main_text"), src.structured_names(F.col("jsonld")).alias("structured_names"), "content_sha256", "retrieved_at",
+        "main_text", src.structured_names(F.col("jsonld")).alias("structured_names"), "content_sha256", "retrieved_at",
     )
 
 
@@ -210,20 +236,18 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-# Page facts of the planted data: own number on tenths, footer place on ninths, the full name where the host spells it.
+# Page facts of the planted data: own number on tenths and in every thirteenth body, the place in ninths' footers or bodies, the full
+# name where footer, title or body spell it.
 GATE_SQL = """facts AS (
-  SELECT *, k % 10 = 0 AS own, len(core) > 0 AND hits_page = len(list_distinct(legal)) AS full_name,
-    k % 9 = 0 AND k % 2 = 0 AS place, list_contains(legal, 'example') AS partial
-  FROM (SELECT *, list_filter(regexp_extract_all(low_name, '[a-z0-9]+'), lambda t: t NOT IN ('as','asa','ans','da','enk','iks','sa','sam','sti','stiftelsen','nuf','ab','limited','ltd','inc','plc')) AS legal,
-      len(list_filter(list_distinct(legal), lambda t: list_contains(footer_tokens, t))) AS hits_page FROM assessed)
+  SELECT *, k % 10 = 0 OR k % 13 = 4 AS own, len(core) > 0 AND (list_has_all(footer_tokens, legal) OR list_has_all(title_tokens, legal) OR list_has_all(body_tokens, legal)) AS full_name,
+    k % 9 = 0 AND k % 2 = 0 OR k % 9 = 5 AS place, list_contains(legal, 'example') AS partial
+  FROM (SELECT *, list_filter(regexp_extract_all(low_name, '[a-z0-9]+'), lambda t: t NOT IN ('as','asa','ans','da','enk','iks','sa','sam','sti','stiftelsen','nuf','ab','limited','ltd','inc','plc')) AS legal FROM assessed)
 ), gated AS (
   SELECT org, k, url, ['registry', 'registry_email', 'guessed_domain', 'search', 'knowledge_graph', 'hyphenated_domain'][k % 6 + 1] AS candidate_source,
     CASE WHEN score < 0.9 THEN false
       WHEN k % 6 = 0 THEN true
       WHEN own THEN true
       WHEN k % 6 = 1 THEN full_name AND partial AND place
-      WHEN k % 6 = 2 THEN full_name AND place
-      WHEN k % 6 = 3 THEN full_name AND place
       ELSE full_name AND place END AS publishable
   FROM facts
 )"""

@@ -74,7 +74,7 @@ def _plain_sql(html: str) -> str:
     "S15_main_text",
     sql=b.with_ctes(
         pg.PAGE_SQL,
-        f"""SELECT org, CASE WHEN ok THEN {_plain_sql("regexp_replace(regexp_extract(html, '(?s)<body>(.*?)(</body>|$)', 1), '(?s)<(nav|footer)>.*?</(nav|footer)>', ' ', 'g')")} END AS main_text FROM p""",
+        f"""SELECT org, CASE WHEN ok THEN {_plain_sql("body")} END AS main_text FROM p""",
     ),
 )
 def main_text(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +86,7 @@ def main_text(spark: SparkSession, d: str) -> DataFrame:
     sql=b.with_ctes(
         pg.PAGE_SQL,
         f"""SELECT org, CASE WHEN ok THEN trim(concat_ws(' ', CASE k % 4 WHEN 0 THEN concat('Ring ', k, ' eller ', k + 1) WHEN 1 THEN concat('Sted ', k) WHEN 2 THEN 'Firma' END,
-          {_plain_sql("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)")})) END AS identity_text FROM p""",
+          {_plain_sql("regexp_extract(raw_html, '(?s)<footer>(.*?)</footer>', 1)")})) END AS identity_text FROM p""",
     ),
 )
 def identity_text(spark: SparkSession, d: str) -> DataFrame:
