@@ -250,8 +250,24 @@ def sample_counts(spark: SparkSession, d: str) -> DataFrame:
     sql=b.with_ctes(
         b.ENTITY_SQL,
         SAMPLE_SQL,
-        "SELECT count(*) AS selected, sha256(string_agg(org, chr(10) ORDER BY org)) AS selected_sha256 FROM sample",
+        """leaves AS (SELECT org, row_number() OVER (ORDER BY org) - 1 AS pos, count(*) OVER () AS members FROM sample),
+        parts AS (SELECT pos // 16 AS pos, sha256(string_agg(org, chr(10) ORDER BY pos)) AS digest, max(members) AS members FROM leaves GROUP BY pos // 16)
+        SELECT max(members) AS selected, sha256(string_agg(digest, chr(10) ORDER BY pos)) AS selected_sha256 FROM parts""",
     ),
 )
 def membership_hash(spark: SparkSession, d: str) -> DataFrame:
-    return c.membership_hash(_filer_sample(spark, d))
+    return c.membership_hash(_filer_sample(spark, d), fan=16)
+
+
+@check(
+    "A12_registry_hash",
+    sql=b.with_ctes(
+        b.ENTITY_SQL,
+        """leaves AS (SELECT org, row_number() OVER (ORDER BY org) - 1 AS pos, count(*) OVER () AS members FROM entity),
+        parts AS (SELECT pos // 1024 AS pos, sha256(string_agg(org, chr(10) ORDER BY pos)) AS digest, max(members) AS members FROM leaves GROUP BY pos // 1024)
+        SELECT max(members) AS selected, sha256(string_agg(digest, chr(10) ORDER BY pos)) AS selected_sha256 FROM parts""",
+    ),
+)
+def registry_hash(spark: SparkSession, d: str) -> DataFrame:
+    """The same over every company: no sample, no single task."""
+    return c.membership_hash(b.entity(spark, d).select("org"))

@@ -13,7 +13,7 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 _MODULES = (
     "scalars", "cohorts", "awards", "changes", "claims", "observations", "pages", "matching", "reports", "audits",
-    "serving", "streams", "sites",
+    "serving", "streams", "sites", "files",
 )
 
 

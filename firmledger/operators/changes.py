@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_json, material_id
+from ..functions.ordering import written
 from ..functions.values import change_summary, path_label
 from ..model import CLAIM, EVIDENCE, conform
 
@@ -199,31 +200,58 @@ def top_paths(paths: DataFrame, count: int = 30) -> DataFrame:
     )
 
 
-def nearest_rank(values: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Exact nearest-rank percentiles: the value at rank ceil(q * n).
+BUCKETS = 4096
+
+
+def _with(rows: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on keys of which nulls are equal."""
+    renamed = other.withColumnsRenamed({key: f"_other_{key}" for key in keys})
+    same = [F.col(key).eqNullSafe(F.col(f"_other_{key}")) for key in keys]
+    return rows.join(renamed, same, how).drop(*[f"_other_{key}" for key in keys])
+
+
+def _at_ranks(values: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """Values at given ranks (from 1) of each key, with the number of values as ``n`` and the largest as ``max_value``.
 
-    Equal values are counted before the shuffle by key, so the running count per key sees distinct values only.
+    ``ranks`` are expressions of ``n``. Each key's range of values is cut into ``BUCKETS`` equal buckets; counts per bucket name the bucket
+    that holds a rank, and that bucket is cut again until each holds one value. A key with most of the rows costs counts, not a sort:
+    no task ever sees more than a key's buckets. Values are whole numbers or finite doubles.
     """
-    counted = values.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    by_value = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-    ranked = counted.withColumn("_upto", F.sum("_n").over(by_value)).withColumn("_total", F.sum("_n").over(whole))
-    picks = [
-        F.min(F.when(F.col("_upto") >= F.greatest(F.ceil(F.lit(q) * F.col("_total")), F.lit(1)), F.col(value))).alias(name)
-        for name, q in quantiles.items()
-    ]
-    return ranked.groupBy(*keys).agg(F.max("_total").alias("n"), *picks, F.max(value).alias("max_value"))
+    known = values.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    # Equal values are counted before the shuffle.
+    counted = written(known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")), "values")
+    whole = counted.groupBy(*keys).agg(F.sum("_n").alias("n"), F.min("_v").alias("_low"), F.max("_v").alias("max_value"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank")) for name, rank in ranks.items()]))
+    state = whole.select(*keys, "n", "max_value", "_low", F.col("max_value").alias("_high"), wanted.alias("_w")).select("*", "_w.*").drop("_w")
+    state = written(state, "ranks")
+    while state.filter("_low < _high").limit(1).count():
+        share = (F.col("_v").cast("double") - F.col("_low").cast("double")) / (F.col("_high").cast("double") - F.col("_low").cast("double"))
+        bucket = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1))
+        ranges = state.groupBy(*keys, "_low", "_high").agg(F.collect_set("name").alias("_names")).filter("_low < _high")
+        held = _with(counted, ranges, keys, "inner").filter(F.col("_v").between(F.col("_low"), F.col("_high")))
+        bins = held.groupBy(*keys, "_low", "_high", "_names", bucket.alias("_b")).agg(F.sum("_n").alias("_n"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+        before = F.sum("_n").over(Window.partitionBy(*keys, "_low", "_high").orderBy("_b")) - F.col("_n")  # at most BUCKETS rows
+        bins = bins.withColumn("_before", before).select(*keys, F.explode("_names").alias("name"), "_n", "_before", "_from", "_to")
+        found = _with(state, bins, [*keys, "name"], "left").filter(F.col("_n").isNull() | ((F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_before") + F.col("_n"))))
+        state = written(
+            found.select(
+                *keys, "n", "max_value", F.coalesce("_from", "_low").alias("_low"), F.coalesce("_to", "_high").alias("_high"), "name",
+                (F.col("rank") - F.coalesce("_before", F.lit(0))).alias("rank"),
+            ),
+            "ranks",
+        )
+    picks = [F.max(F.when(F.col("name") == name, F.col("_low"))).alias(name) for name in ranks]
+    return state.groupBy(*keys).agg(F.max("n").alias("n"), *picks, F.max("max_value").alias("max_value"))
+
+
+def nearest_rank(values: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Exact nearest-rank percentiles: the value at rank ceil(q * n), at least the first."""
+    return _at_ranks(values, keys, value, {name: F.greatest(F.ceil(F.lit(q) * F.col("n")), F.lit(1)) for name, q in quantiles.items()})
 
 
 def lower_index_percentile(values: DataFrame, keys: list[str], value: str, quantile: float, name: str) -> DataFrame:
     """The second percentile in use: the value at zero-based index int((n - 1) * q)."""
-    counted = values.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    by_value = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("_upto", F.sum("_n").over(by_value)).withColumn(
-        "_total", F.sum("_n").over(Window.partitionBy(*keys))
-    )
-    wanted = F.floor((F.col("_total") - 1) * F.lit(quantile)) + 1
-    return ranked.groupBy(*keys).agg(F.min(F.when(F.col("_upto") >= wanted, F.col(value))).alias(name))
+    return _at_ranks(values, keys, value, {name: F.floor((F.col("n") - 1) * F.lit(quantile)) + 1}).select(*keys, name)
 
 
 def request_summary(requests: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import numbered, smallest, tree_digest
 from ..functions.values import filer_stratum, stratum
 from ..functions.web import bare_host, normalize_homepage
 
@@ -78,14 +79,10 @@ def hash_rank(seed: int | str, org: Column, label: str = "") -> Column:
     return F.sha2(F.concat(F.lit(prefix), org), 256)
 
 
-def _first_k(rows: DataFrame, count: int, *order: Column) -> DataFrame:
-    """Top-k without a global sort: every task keeps k rows, the driver plan merges them."""
-    return rows.orderBy(*order).limit(count)
-
-
-def _numbered(rows: DataFrame, order: Column) -> DataFrame:
-    """Row numbers of a sample. The one-partition window only ever sees the k rows of the sample."""
-    return rows.withColumn("_position", F.row_number().over(Window.orderBy(order)) - 1)
+def _in_order(rows: DataFrame, key: Column) -> DataFrame:
+    """Positions of the rows of a sample by a key."""
+    placed = numbered(rows.withColumns({"_all": F.lit(0), "_key": key}), "_all", "_key")
+    return placed.withColumnRenamed("pos", "_position").drop("_all", "_key", "members")
 
 
 def half_even(value: float) -> int:
@@ -120,8 +117,9 @@ def filer_sample(
         marks = preserved.select("org").distinct().withColumn("_mark", F.lit(True))
         ranked = eligible.join(marks, "org", "left").withColumn("_preserved", F.coalesce("_mark", F.lit(False))).drop("_mark")
     rank = F.when(F.col("_preserved"), hash_rank(seed, F.col("org"), "preserved")).otherwise(hash_rank(seed, F.col("org")))
-    chosen = _first_k(ranked.withColumn("_rank", rank), count, F.col("_preserved").desc(), F.col("_rank"))
-    return _numbered(chosen, hash_rank(seed, F.col("org"), "order")).select(
+    # Preserved rows sort first: 0 before 1.
+    chosen, _ = smallest(ranked, count, F.concat(F.when(F.col("_preserved"), "0").otherwise("1"), rank))
+    return _in_order(chosen, hash_rank(seed, F.col("org"), "order")).select(
         *entities.columns,
         F.when(F.col("_preserved"), F.lit("preserved_eligible"))
         .otherwise(F.lit("financial_filer_population"))
@@ -133,7 +131,7 @@ def filer_sample(
 def extension_sample(entities: DataFrame, count: int, excluded: DataFrame, seed: int = 20260824) -> DataFrame:
     """Seeded holdout of entities outside an excluded set."""
     rest = entities.join(excluded.select("org").distinct(), "org", "left_anti")
-    return _first_k(rest, count, hash_rank(seed, F.col("org"))).select(
+    return smallest(rest, count, hash_rank(seed, F.col("org")))[0].select(
         *entities.columns,
         F.lit("extension").alias("sample_slice"),
         F.lit("extension_holdout").alias("evaluation_split"),
@@ -157,7 +155,7 @@ def website_audit_sample(
     first = rows.groupBy("host").agg(
         F.min_by(F.struct(*entities.columns, "_rank"), F.col("_rank")).alias("row")
     )
-    return _first_k(first, count, F.col("row._rank")).select(
+    return smallest(first, count, F.col("row._rank"))[0].select(
         *[F.col(f"row.{name}").alias(name) for name in entities.columns],
         "host",
         F.lit("fresh_website_audit").alias("sample_slice"),
@@ -180,33 +178,23 @@ def stress_sample(entities: DataFrame, count: int, seed: int = 20260822) -> Data
     population_count = half_even(count * 0.7)
     stress_count = count - population_count
     rows = entities.withColumn("stratum", entity_stratum(entities)).withColumn("_rank", hash_rank(seed, F.col("org")))
-    population = _first_k(rows, population_count, F.col("_rank")).withColumn("sample_slice", F.lit("population"))
-    # The population holds at most `population_count` rows, a bound set by the caller.
-    rest = rows.join(F.broadcast(population.select("org")), "org", "left_anti")
-    # Stress candidates: the filter on row_number lets every task keep only the leading rows of a stratum.
-    within = Window.partitionBy("stratum").orderBy(hash_rank(seed, F.col("org"), "stress"))
-    candidates = (
-        rest.withColumn("_within", F.row_number().over(within))
-        .filter(F.col("_within") <= max(stress_count, 1))
-        .withColumn("_strata", F.lit(None).cast("bigint"))
-    )
-    strata = rows.select("stratum").distinct().agg(F.count(F.lit(1)).alias("_n"))
-    minimum = F.greatest(F.lit(1), F.least(F.lit(3), F.floor(F.lit(stress_count) / F.greatest(F.col("_n"), F.lit(1)))))
-    # One-row table of the number of strata (forms x bands x states x web: at most 96).
-    tagged = candidates.join(F.broadcast(strata), F.lit(True)).withColumn("_floor", F.col("_within") <= minimum)
-    stress = (
-        _first_k(
-            tagged,
-            stress_count,
-            F.col("_floor").desc(),
-            F.when(F.col("_floor"), F.col("stratum")),
-            hash_rank(seed, F.col("org"), "stress"),
-        )
-        .select(*rows.columns)
-        .withColumn("sample_slice", F.lit("stress"))
-    )
-    chosen = population.unionByName(stress)
-    return _numbered(chosen, F.col("_rank")).select(
+    population, picked = smallest(rows, population_count, F.col("_rank"))
+    population = population.withColumn("sample_slice", F.lit("population"))
+    rest = rows.filter(F.lit(False) if picked is None else ~picked)
+    # The filter on row_number lets every task keep only the few leading rows of a stratum.
+    strata = rows.select(F.col("stratum").alias("_stratum")).distinct().withColumn("_at", F.row_number().over(Window.orderBy("_stratum")))  # forms x bands x states x web: at most 96
+    minimum = max(1, min(3, stress_count // max(1, strata.count())))
+    stress_rank = hash_rank(seed, F.col("org"), "stress")
+    within = F.row_number().over(Window.partitionBy("stratum").orderBy(stress_rank))
+    floor = rest.withColumn("_within", within).filter(F.col("_within") <= minimum).select(F.col("org").alias("_floor"))
+    # Rows of the minimum first, stratum by stratum, then all others: two digits of the stratum before the hash. At most three rows of each
+    # of at most 96 strata are broadcast.
+    tagged = rest.join(F.broadcast(strata), F.col("stratum").eqNullSafe(F.col("_stratum")))
+    tagged = tagged.join(F.broadcast(floor), F.col("org") == F.col("_floor"), "left")
+    lead = F.when(F.col("_floor").isNotNull(), F.concat(F.lit("0"), F.lower(F.lpad(F.hex("_at"), 2, "0")))).otherwise("100")
+    stress, _ = smallest(tagged, stress_count, F.concat(lead, stress_rank))
+    chosen = population.unionByName(stress.select(*rows.columns).withColumn("sample_slice", F.lit("stress")))
+    return _in_order(chosen, F.col("_rank")).select(
         *entities.columns,
         "stratum",
         "sample_slice",
@@ -216,7 +204,7 @@ def stress_sample(entities: DataFrame, count: int, seed: int = 20260822) -> Data
 
 def seeded_batch(universe: DataFrame, count: int, seed: int, split: str, sample_slice: str) -> DataFrame:
     """k rows of a universe by seed."""
-    return _first_k(universe, count, hash_rank(seed, F.col("org"))).select(
+    return smallest(universe, count, hash_rank(seed, F.col("org")))[0].select(
         *universe.columns, F.lit(split).alias("evaluation_split"), F.lit(sample_slice).alias("sample_slice")
     )
 
@@ -239,9 +227,10 @@ def sample_counts(sample: DataFrame) -> DataFrame:
     )
 
 
-def membership_hash(sample: DataFrame) -> DataFrame:
-    """sha256 over the sorted numbers of a sample. Meant for samples, whose size the caller chose."""
-    return sample.agg(
-        F.count(F.lit(1)).alias("selected"),
-        F.sha2(F.array_join(F.array_sort(F.collect_list("org")), "\n"), 256).alias("selected_sha256"),
-    )
+def membership_hash(sample: DataFrame, fan: int = 1024) -> DataFrame:
+    """Number and digest of the sorted numbers of a sample, as a tree of runs of ``fan``: (selected, selected_sha256).
+
+    Up to ``fan`` members it is the plain digest of the joined numbers. An empty sample gives no row.
+    """
+    found = tree_digest(sample.select(F.lit(0).alias("_all"), "org"), "_all", "org", "org", fan)
+    return found.select(F.col("members").alias("selected"), F.col("digest").alias("selected_sha256"))

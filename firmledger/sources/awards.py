@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_hash
+from ..functions.ordering import tree_digest, written
 from ..functions.orgnum import extract_org_numbers
 from ..functions.text import parse_amount, parse_award_date, squash
+from .quoted_csv import read_quoted_csv
 from .registry import quoted, sniff_separator
 
 # Markers that locate a column by its folded header, and markers that rule it out.
@@ -81,25 +83,41 @@ def file_head(spark: SparkSession, path: str, length: int = 4096) -> bytes:
         stream.close()
 
 
+def first_file(spark: SparkSession, path: str) -> str:
+    """The path itself, or the first data file of a folder by name."""
+    jvm = spark.sparkContext._jvm
+    location = jvm.org.apache.hadoop.fs.Path(path)
+    system = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.getFileStatus(location).isDirectory():
+        return path
+    names = sorted(status.getPath().getName() for status in system.listStatus(location) if status.isFile() and status.getLen())
+    names = [name for name in names if not name.startswith(("_", "."))]
+    if not names:
+        raise ValueError(f"no data file in {path}")
+    return f"{path.rstrip('/')}/{names[0]}"
+
+
 def read_award_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Award file rows under their own headers; encoding and separator are read off the file head."""
-    head = file_head(spark, path)
+    """Award file rows under their own headers; encoding and separator are read off the head of the (first) file.
+
+    Quoted line breaks do not keep a file from being read by many tasks. In UTF-16, a line end is looked for at every byte, so
+    a character of U+0Axx before one of U+xx00 would be taken for one; no script in use here has both.
+    """
+    head = file_head(spark, first_file(spark, path))
     encoding = detect_encoding(head)
+    if encoding == "UTF-16":
+        encoding = "UTF-16LE" if head.startswith(b"\xff\xfe") else "UTF-16BE"
     first_line = head.decode(encoding, errors="ignore").lstrip("﻿").splitlines()[0] if head else ""
-    rows = spark.read.csv(
-        path, header=True, sep=sniff_separator(first_line), encoding=encoding, multiLine=True, quote='"', escape='"'
-    )
-    # Some writers leave the byte-order mark inside the first header.
-    for name in rows.columns:
-        if name.startswith("﻿"):
-            rows = rows.withColumnRenamed(name, name.lstrip("﻿").strip('"'))
-    return rows
+    return read_quoted_csv(spark, path, sniff_separator(first_line), encoding)
 
 
 def snapshot_hash(spark: SparkSession, path: str) -> DataFrame:
-    """sha256 per snapshot file."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.sha2(F.col("content"), 256).alias("snapshot_sha256"))
+    """(path, lines, snapshot_sha256) per snapshot file: the tree digest of its lines in file order, however long the file is."""
+    where = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), where.alias("place"), F.col("value").alias("line"))
+    # Places in a task follow the file, so they are only to be fixed before the lines are dealt.
+    found = tree_digest(written(lines, "lines"), "path", "place", "line")
+    return found.select("path", F.col("members").alias("lines"), F.col("digest").alias("snapshot_sha256"))
 
 
 def normalize_award_rows(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.orgnum import digits
+from .quoted_csv import read_quoted_csv
 
 # Header variants of the registry export, short form first.
 REGISTRY_HEADERS = {
@@ -62,16 +63,11 @@ def normalize_registry_rows(rows: DataFrame, keep_raw: bool = False) -> DataFram
 def read_registry_bulk(spark: SparkSession, path: str, keep_raw: bool = False) -> DataFrame:
     """Registry CSV (plain or gzip, UTF-8 with or without a byte-order mark); the separator is read off the header.
 
-    A gzip file is one task by nature. Convert a national file once to Parquet and read that afterwards.
+    A plain file is read by many tasks, quoted line breaks or not; a gzip file is one task by nature: convert it once to Parquet.
     """
     header = spark.read.text(path).first()
     first_line = (header[0] if header else "").lstrip("﻿")
-    rows = spark.read.csv(
-        path, header=True, sep=sniff_separator(first_line, ";,\t"), encoding="UTF-8", quote='"', escape='"', multiLine=True
-    )
-    for name in rows.columns:
-        if name.startswith("﻿"):
-            rows = rows.withColumnRenamed(name, name.lstrip("﻿").strip('"'))
+    rows = read_quoted_csv(spark, path, sniff_separator(first_line, ";,\t"))
     return normalize_registry_rows(rows, keep_raw)
 
 
