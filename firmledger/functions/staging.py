@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,3 +16,8 @@ def with_stage(rows: DataFrame, name: str, value: Column) -> DataFrame:
     above it, the row count does not change, and nothing is shuffled.
     """
     return rows.withColumn(name, F.explode_outer(F.array(value)))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often and in whatever lambda the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

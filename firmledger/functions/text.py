@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .staging import bound
+
 # Stop words of the three tokenisers.
 IDENTITY_STOP = (
     "as", "asa", "ans", "da", "enk", "iks", "sa", "sam", "sti", "stiftelsen",
@@ -224,3 +226,50 @@ def norwegian_phone(value: Column) -> Column:
     number = F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"[^0-9]", "")
     number = F.when((F.length(number) > 8) & number.startswith("47"), F.substring(number, F.lit(3), F.length(number))).otherwise(number)
     return F.right(number, F.lit(8))
+
+
+# --- places in a text -------------------------------------------------------------------------------
+
+MARK = "\u0001"
+
+
+def running_totals(values: Column) -> Column:
+    """Sum of all values before each place of an array of whole numbers.
+
+    Appending to an array copies it, so the totals are made in blocks as long as the root of the array: sums of the blocks, their own
+    totals, then each block from its base. A hundred thousand places take some ten million steps, not some billions.
+    """
+    def of_blocks(v: Column, width: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / width).cast("int") - 1, F.lit(0)))
+        add = lambda total, x: total + x
+        sums = F.transform(blocks, lambda b: F.aggregate(F.slice(v, b * width + 1, width), F.lit(0), add))
+        bases = bound(sums, lambda s: F.transform(s, lambda _, b: F.aggregate(F.slice(s, F.lit(1), b), F.lit(0), add)))
+        start = lambda base: F.struct(base.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda state, x: F.struct((state["at"] + x).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+        return F.flatten(F.transform(bases, lambda base, b: F.aggregate(F.slice(v, b * width + 1, width), start(base), step, lambda state: state["out"])))
+
+    return bound(values, lambda v: bound(F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1)), lambda width: of_blocks(v, width)))
+
+
+def pieces_between(text: Column, pattern: str) -> Column:
+    """A text cut around all matches of a pattern: plain pieces at even places, matches at odd ones. A mark in the text reads as a space."""
+    return F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), pattern, MARK + "$0" + MARK), MARK, -1)
+
+
+def occurrences(text: Column, pattern: str) -> Column:
+    """Array of (start, written) of every match in order; starts count characters from zero."""
+    def places(pieces: Column) -> Column:
+        def matches(starts: Column) -> Column:
+            odd = F.sequence(F.lit(1), F.size(pieces) - 1, F.lit(2))
+            return F.transform(odd, lambda at: F.struct(F.get(starts, at).alias("start"), F.get(pieces, at).alias("written")))
+
+        found = bound(running_totals(F.transform(pieces, lambda piece: F.length(piece))), matches)
+        return F.when(F.size(pieces) > 1, found).otherwise(F.array().cast("array<struct<start:int,written:string>>"))
+
+    return bound(pieces_between(text, pattern), places)
+
+
+def last_at_most(starts: Column, value: Column) -> Column:
+    """Place (from zero) of the last of some ascending numbers that is not above a value, by halving; the first is taken to be so."""
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(starts, at + step) <= value, at + step).otherwise(at))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.orgnum import extract_org_numbers
+from ..functions.staging import with_stage
+from ..functions.text import pieces_between, running_totals
 from ..sources.awards import fold_header
 from ..sources.registry import quoted
 
@@ -79,55 +81,33 @@ def role_counts(hits: DataFrame) -> DataFrame:
 
 # Three groups of three digits with at most three other characters between the groups.
 SPREAD_NUMBER = "(?<![0-9])([0-9]{3}[^0-9]{0,3}[0-9]{3}[^0-9]{0,3}[0-9]{3})(?![0-9])"
-_MARK = "\u0001"
+#: The shortest number-shaped group: between two of them there is one plain piece, so this many pieces hold a context for certain.
+_GROUP_CHARS = 9
 
 
 def raw_occurrences(texts: DataFrame, key: str, text: str, targets: DataFrame, context_chars: int = 220) -> DataFrame:
     """Every place where a raw text holds a target's number: (text_key, org, position, context).
 
     All number-shaped groups of a text are extracted once and joined with the targets, instead of one search per
-    target. The pieces between the groups give the positions. A group like "123 456 789 123" reads from the left.
+    target. The pieces between the groups give positions and contexts, so no hit carries or searches the whole text. A group like
+    "123 456 789 123" reads from the left.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    marked = F.regexp_replace(F.replace(body, F.lit(_MARK), F.lit(" ")), SPREAD_NUMBER, _MARK + "$1" + _MARK)
-    # Odd pieces are plain text, even pieces are the numbers.
-    pieces = texts.select(F.col(key).alias("text_key"), body.alias("_body"), F.split(marked, _MARK, -1).alias("_pieces"))
-    hits = pieces.filter(F.size("_pieces") > 1).select(
-        "text_key",
-        "_body",
-        F.explode(
-            F.aggregate(
-                "_pieces",
-                F.struct(
-                    F.lit(0).alias("at"),
-                    F.lit(False).alias("number"),
-                    F.array().cast("array<struct<start:int,written:string>>").alias("found"),
-                ),
-                lambda state, piece: F.struct(
-                    (state["at"] + F.length(piece)).alias("at"),
-                    (~state["number"]).alias("number"),
-                    F.when(
-                        state["number"],
-                        F.concat(state["found"], F.array(F.struct(state["at"].alias("start"), piece.alias("written")))),
-                    )
-                    .otherwise(state["found"])
-                    .alias("found"),
-                ),
-                lambda state: state["found"],
-            )
-        ).alias("hit"),
-    )
-    found = hits.select(
-        "text_key",
-        F.regexp_replace("hit.written", "[^0-9]", "").alias("org"),
-        F.col("hit.start").cast("bigint").alias("position"),
-        F.substring(
-            F.col("_body"),
-            F.greatest(F.col("hit.start") - context_chars, F.lit(0)) + 1,
-            F.least(F.col("hit.start"), F.lit(context_chars)) + F.length("hit.written") + context_chars,
-        ).alias("context"),
-    )
-    return found.join(targets.select("org"), "org", "left_semi")
+    near = 2 * (context_chars // _GROUP_CHARS + 1)
+    pieces = pieces_between(F.coalesce(F.col(text), F.lit("")), SPREAD_NUMBER)
+    rows = with_stage(texts.select(F.col(key).alias("text_key"), F.col(text)), "_pieces", pieces).drop(text).filter(F.size("_pieces") > 1)
+    rows = with_stage(rows, "_starts", running_totals(F.transform("_pieces", lambda piece: F.length(piece))))
+
+    def hit(at: Column) -> Column:
+        before = F.array_join(F.slice("_pieces", F.greatest(at - near, F.lit(0)) + 1, F.least(at, F.lit(near))), "")
+        after = F.array_join(F.slice("_pieces", at + 2, F.lit(near)), "")
+        written = F.get("_pieces", at)
+        return F.struct(
+            F.regexp_replace(written, "[^0-9]", "").alias("org"), F.get("_starts", at).cast("bigint").alias("position"),
+            F.concat(F.right(before, F.lit(context_chars)), written, F.left(after, F.lit(context_chars))).alias("context"),
+        )
+
+    found = rows.select("text_key", F.inline(F.transform(F.sequence(F.lit(1), F.size("_pieces") - 1, F.lit(2)), hit)))
+    return found.join(targets.select("org"), "org", "left_semi").select("text_key", "org", "position", "context")
 
 
 def occurrence_summary(occurrences: DataFrame, targets: DataFrame) -> DataFrame:

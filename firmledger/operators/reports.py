@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import json_value, material_id
 from ..functions.orgnum import digits
-from ..functions.staging import with_stage
-from ..functions.text import squash
+from ..functions.staging import bound, with_stage
+from ..functions.text import MARK, last_at_most, occurrences, running_totals, squash
 from ..model import CLAIM, EVIDENCE, OBSERVATION, conform
 
 # Wording of workforce numbers; lower priority numbers are stronger.
@@ -69,34 +71,6 @@ ACTIVITY = (
 )
 LEADING_ENTITY = r"^\s*([A-ZÆØÅ0-9][A-Za-zÆØÅæøå0-9&.'’()\-/ ]{1,80}?\s+(?:ASA|AS|ANS|DA|NUF|SA|BA|KS|IKS|HF|KF|SF))\b"
 ENTITY_SUFFIX = r"(?iu)\s+(?:ASA|AS|ANS|DA|NUF|SA|BA|KS|IKS|HF|KF|SF)\s*$"
-_MARK = "\u0001"
-
-
-def _occurrences(text: Column, pattern: str) -> Column:
-    """Array of (start, written) of every match; starts count from zero. A mark in the text itself reads as a space."""
-    marked = F.regexp_replace(F.replace(text, F.lit(_MARK), F.lit(" ")), pattern, _MARK + "$0" + _MARK)
-    return F.aggregate(
-        F.split(marked, _MARK, -1),
-        F.struct(
-            F.lit(0).alias("at"), F.lit(False).alias("hit"),
-            F.array().cast("array<struct<start:int,written:string>>").alias("found"),
-        ),
-        lambda state, piece: F.struct(
-            (state["at"] + F.length(piece)).alias("at"),
-            (~state["hit"]).alias("hit"),
-            F.when(
-                state["hit"], F.concat(state["found"], F.array(F.struct(state["at"].alias("start"), piece.alias("written"))))
-            ).otherwise(state["found"]).alias("found"),
-        ),
-        lambda state: state["found"],
-    )
-
-
-def _line_of(text: Column, start: Column, length: Column) -> Column:
-    """The line or lines around a match."""
-    before = F.regexp_extract(F.substring(text, F.lit(1), start), r"([^\n]*)$", 1)
-    after = F.regexp_extract(F.substring(text, start + length + 1, F.length(text)), r"^([^\n]*)", 1)
-    return F.trim(F.concat(before, F.substring(text, start + 1, length), after))
 
 
 def report_number(raw: Column) -> Column:
@@ -112,40 +86,42 @@ def report_number(raw: Column) -> Column:
 
 
 def workforce_candidates(text: Column) -> Column:
-    """All workforce numbers of a report text as (priority, value, span, measure); lines about a group do not count."""
-    def numbered(priority: int, measure: str, pattern: str) -> Column:
-        return F.transform(
-            _occurrences(text, pattern),
-            lambda hit: F.struct(
-                F.lit(priority).alias("priority"),
-                report_number(F.regexp_extract(hit["written"], pattern, 1)).alias("value"),
-                _line_of(text, hit["start"], F.length(hit["written"])).alias("span"),
-                F.lit(measure).alias("measure"),
-            ),
-        )
+    """All workforce numbers of a report text as (priority, value, span, measure); lines about a group do not count.
 
-    found = [numbered(*rule) for rule in WORKFORCE_PATTERNS]
-    words = F.create_map(*[F.lit(item) for pair in WORD_COUNTS.items() for item in (pair[0], float(pair[1]))])
-    found.append(
-        F.transform(
-            _occurrences(text, WORD_PATTERN),
-            lambda hit: F.struct(
-                F.lit(2).alias("priority"), words[F.lower(F.regexp_extract(hit["written"], WORD_PATTERN, 1))].alias("value"),
-                _line_of(text, hit["start"], F.length(hit["written"])).alias("span"), F.lit("employees").alias("measure"),
-            ),
-        )
-    )
-    found.append(
-        F.transform(
-            _occurrences(text, ZERO_PATTERN),
-            lambda hit: F.struct(
-                F.lit(0).alias("priority"), F.lit(0.0).alias("value"),
-                _line_of(text, hit["start"], F.length(hit["written"])).alias("span"),
-                F.when(hit["written"].rlike("(?i)verk"), F.lit("full_time_equivalents")).otherwise(F.lit("employees")).alias("measure"),
-            ),
+    A span is the line or lines that a match lies on, found by halving in the starts of all lines.
+    """
+    def found_in(lines: Column, starts: Column) -> Column:
+        def span(hit: Column) -> Column:
+            first, last = last_at_most(starts, hit["start"]), last_at_most(starts, hit["start"] + F.length(hit["written"]))
+            return F.trim(F.array_join(F.slice(lines, first + 1, last - first + 1), "\n"))
+
+        def rows(pattern: str, priority: int, value: Callable[[Column], Column], measure: Callable[[Column], Column]) -> Column:
+            return F.transform(
+                occurrences(text, pattern),
+                lambda hit: F.struct(
+                    F.lit(priority).alias("priority"), value(hit["written"]).alias("value"), span(hit).alias("span"), measure(hit["written"]).alias("measure")
+                ),
+            )
+
+        def number(pattern: str) -> Callable[[Column], Column]:
+            return lambda written: report_number(F.regexp_extract(written, pattern, 1))
+
+        def named(measure: str) -> Callable[[Column], Column]:
+            return lambda _: F.lit(measure)
+
+        words = F.create_map(*[F.lit(item) for pair in WORD_COUNTS.items() for item in (pair[0], float(pair[1]))])
+        years = lambda written: F.when(written.rlike("(?i)verk"), F.lit("full_time_equivalents")).otherwise(F.lit("employees"))
+        return F.concat(
+            *[rows(pattern, priority, number(pattern), named(measure)) for priority, measure, pattern in WORKFORCE_PATTERNS],
+            rows(WORD_PATTERN, 2, lambda written: words[F.lower(F.regexp_extract(written, WORD_PATTERN, 1))], named("employees")),
+            rows(ZERO_PATTERN, 0, lambda _: F.lit(0.0), years),
         )
-    )
-    usable = F.filter(F.concat(*found), lambda item: item["value"].isNotNull() & ~item["span"].rlike(GROUP_WORDS))
+
+    def by_lines(lines: Column) -> Column:
+        return bound(running_totals(F.transform(lines, lambda line: F.length(line) + 1)), lambda starts: found_in(lines, starts))
+
+    found = bound(F.split(F.replace(text, F.lit(MARK), F.lit(" ")), "\n", -1), by_lines)
+    usable = F.filter(found, lambda item: item["value"].isNotNull() & ~item["span"].rlike(GROUP_WORDS))
     # Every pattern holds one of these words, so all other texts are done after one cheap search.
     speaks = text.rlike(r"(?iu)ansatte|aarsverk|arsverk|årsverk")
     none = F.array().cast("array<struct<priority:int,value:double,span:string,measure:string>>")
@@ -156,8 +132,8 @@ def extract_workforce(reports: DataFrame) -> DataFrame:
     """Reports with the strongest workforce number, or the reason for abstaining. Input column: text."""
     body = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\t\r ]+", " ")
     rows = with_stage(with_stage(reports, "_body", body), "_all", workforce_candidates(F.col("_body")))
-    best = F.array_min(F.transform("_all", lambda item: item["priority"]))
-    rows = with_stage(rows, "_best", F.filter("_all", lambda item: item["priority"] == best))
+    rows = with_stage(rows, "_first", F.array_min(F.transform("_all", lambda item: item["priority"])))
+    rows = with_stage(rows, "_best", F.filter("_all", lambda item: item["priority"] == F.col("_first")))
     values = F.array_distinct(F.transform("_best", lambda item: item["value"]))
     full_time = F.filter("_best", lambda item: item["measure"] == "full_time_equivalents")
     chosen = F.coalesce(F.try_element_at(full_time, F.lit(1)), F.try_element_at("_best", F.lit(1)))
@@ -198,7 +174,7 @@ def extract_description(reports: DataFrame) -> DataFrame:
     starts = F.flatten(
         F.array(
             *[
-                F.transform(_occurrences(F.col("_body"), heading), lambda hit: hit["start"] + F.length(hit["written"]))
+                F.transform(occurrences(F.col("_body"), heading), lambda hit: hit["start"] + F.length(hit["written"]))
                 for heading in HEADINGS
             ]
         )

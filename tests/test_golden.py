@@ -9,7 +9,7 @@ from firmledger.functions import orgnum, text, values, web
 from firmledger.functions.ids import variant_json
 from firmledger.operators import activity, identity, reports, site_surface
 from firmledger.operators.cohorts import profiles_for_manifest
-from firmledger.operators.reports import _occurrences as occurrences
+from firmledger.functions.text import occurrences
 from firmledger.operators.serving import screen
 from firmledger.session import checkpoint, session_checkpoint_dir
 from firmledger.sources.awards import detect_encoding, read_award_rows, resolve_headers
