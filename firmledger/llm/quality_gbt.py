@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.staging import with_stage
 from .common import WHITE, words
 
 SAMPLE_ROWS = 20_000
@@ -41,7 +42,7 @@ def with_statistics(docs: DataFrame, name: str = "_statistics") -> DataFrame:
             "_bare": F.length(F.regexp_replace("_text", WHITE, "")),
             "_n": F.size("_words"),
             "_kinds": F.size(F.array_distinct("_words")),
-            "_next": F.size(F.filter("_words", lambda word, at: word == F.get("_words", at - 1))),
+            "_next": F.size(F.filter(F.zip_with("_words", F.slice("_words", F.lit(2), F.size("_words")), lambda word, after: word == after), lambda same: same)),
             "_upper": _matching(F.col("_text"), r"\p{Lu}"),
             "_digits": _matching(F.col("_text"), r"\p{Nd}"),
             "_stops": _matching(F.col("_text"), r".,;:?"),
@@ -59,7 +60,8 @@ def with_statistics(docs: DataFrame, name: str = "_statistics") -> DataFrame:
         F.col("_signs") / bare, F.col("_all_lines") / n, F.col("_line_kinds") / F.col("_all_lines"), F.col("_bars") / n,
         F.col("_stops") / n, F.col("_upper") / n,
     ]
-    return rows.select(*docs.columns, F.array(*[v.cast("double") for v in values]).alias(name))
+    # Else a filter on the score would copy all of this into itself, once for each use.
+    return with_stage(rows, name, F.array(*[v.cast("double") for v in values])).select(*docs.columns, name)
 
 
 @dataclass

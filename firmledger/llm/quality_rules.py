@@ -145,10 +145,10 @@ def with_base_counts(rows: DataFrame) -> DataFrame:
         F.transform("_repeats", lambda h, at: F.struct(h.alias("h"), at.alias("at")))
     ))
     same = lambda x, k: x["h"].eqNullSafe(F.get("_ranked", k - 1)["h"]) | x["h"].eqNullSafe(F.get("_ranked", k + 1)["h"])
-    rows = rows.withColumn("_places", F.sort_array(F.transform(F.filter("_ranked", same), lambda x: x["at"])))
+    rows = with_stage(rows, "_places", F.sort_array(F.transform(F.filter("_ranked", same), lambda x: x["at"])))
     after = lambda at, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_places", k + 1) - at, F.lit(WINDOW)))
     covered = F.aggregate(F.transform("_places", after), F.lit(0), lambda total, n: total + n)
-    rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("bigint"))
+    rows = with_stage(rows, "n_repeat_words", F.coalesce(covered, F.lit(0)).cast("bigint"))
     return rows.drop("_repeats", "_ranked", "_places")
 
 
