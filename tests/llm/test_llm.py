@@ -246,13 +246,13 @@ def test_decontamination(spark, documents, awkward, empty):
     asked = spark.createDataFrame([(1, question), (2, None), (3, "what is two plus two"), (1, question)], "item_id bigint, text string")
     texts = {
         1: "Well. " + question.replace("Anna", "Berta").replace("12", "40") + " So.",
-        2: question.replace("Anna sells", "Berta sells"),  # Anna stands for two people: not the same template
+        2: question.replace("Anna sells", "Berta sells"),  # Anna stands for two people, but what follows is the question word for word
         3: "He asked: what is two plus two? Four.",
         4: "a farmer sells apples at the market",
     }
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").union(awkward.select("doc_id", "text"))
     found = {r.doc_id: r.item_ids for r in decontaminate.benchmark_leaks(docs, asked).where("contaminated").collect()}
-    assert found == {1: [1], 3: [3]}
+    assert found == {1: [1], 2: [1], 3: [3]}
     assert decontaminate.keep(awkward, asked).columns == awkward.columns
     assert decontaminate.benchmark_leaks(docs, asked.limit(0)).where("contaminated").count() == 0
     assert decontaminate.benchmark_leaks(empty, asked).count() == 0
