@@ -538,50 +538,45 @@ def registry_workforce(modules: DataFrame) -> DataFrame:
 
 # --- F5, F8: validation ------------------------------------------------------------------------
 
-def _violation(rows: DataFrame, condition: Column, rule: str, subject: Column | str) -> DataFrame:
-    subject = F.col(subject) if isinstance(subject, str) else subject
-    return rows.filter(condition).select("org", F.lit(rule).alias("rule"), subject.cast("string").alias("subject"))
-
-
 def _blank(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")) == ""
 
 
+def failed_rules(rows: DataFrame, *rules: tuple[Column, str, Column]) -> DataFrame:
+    """(org, rule, subject) for every rule that a row breaks: one scan, whatever the number of rules."""
+    broken = [F.when(condition, F.struct(F.lit(rule).alias("rule"), subject.cast("string").alias("subject"))) for condition, rule, subject in rules]
+    return rows.select("org", F.inline(F.array_compact(F.array(*broken))))
+
+
 def contract_violations(runs: DataFrame, claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """All contract breaches as (org, rule, subject).
+    """All contract breaches as (org, rule, subject); every table is read once for its own rules.
 
     ``runs`` has one row per company: org, run_id, started_at, completed_at, terminal_status, requests, cost_usd.
     """
-    found = [_violation(runs, ~F.coalesce(F.col("org").rlike(r"^[0-9]{9}$"), F.lit(False)), "invalid organisation number", "org")]
-    for name in ("run_id", "started_at", "completed_at", "terminal_status"):
-        found.append(_violation(runs, _blank(name), f"missing run.{name}", "org"))
-    found.append(_violation(runs, F.coalesce("requests", F.lit(0)) < 0, "operations.requests is negative", "org"))
-    found.append(_violation(runs, F.coalesce("cost_usd", F.lit(0.0)) < 0, "operations.third_party_cost_usd is negative", "org"))
-
+    org, item, field = F.col("org"), F.col("id"), F.col("field")
+    of_runs = failed_rules(
+        runs,
+        (~F.coalesce(org.rlike(r"^[0-9]{9}$"), F.lit(False)), "invalid organisation number", org),
+        *[(_blank(name), f"missing run.{name}", org) for name in ("run_id", "started_at", "completed_at", "terminal_status")],
+        (F.coalesce("requests", F.lit(0)) < 0, "operations.requests is negative", org),
+        (F.coalesce("cost_usd", F.lit(0.0)) < 0, "operations.third_party_cost_usd is negative", org),
+    )
     counted = evidence.groupBy("org", "id").agg(F.count(F.lit(1)).alias("_n"))
-    found.append(
-        _violation(
-            counted, _blank("id") | (F.col("_n") > 1), "duplicate or missing evidence ids", F.coalesce("id", F.lit(""))
-        )
+    of_ids = failed_rules(counted, (_blank("id") | (F.col("_n") > 1), "duplicate or missing evidence ids", F.coalesce("id", F.lit(""))))
+    of_evidence = failed_rules(
+        evidence, *[(~_blank("id") & _blank(name), f"evidence missing {name}", item) for name in ("source_url", "retrieved_at", "claim_span")]
     )
-    named = evidence.filter(~_blank("id"))
-    for name in ("source_url", "retrieved_at", "claim_span"):
-        found.append(_violation(named, _blank(name), f"evidence missing {name}", "id"))
-
     state = F.coalesce("availability", F.lit(""))
-    found.append(_violation(claims, ~state.isin(*ALLOWED_AVAILABILITY), "claim has invalid availability", "field"))
-    found.append(
-        _violation(claims, (state != "available") & F.col("value").isNotNull(), "claim has value while unavailable", "field")
-    )
-    found.append(
-        _violation(
-            claims, (state == "available") & (F.coalesce(F.size("evidence_ids"), F.lit(0)) < 1), "claim lacks evidence ids", "field"
-        )
+    of_claims = failed_rules(
+        claims,
+        (~state.isin(*ALLOWED_AVAILABILITY), "claim has invalid availability", field),
+        ((state != "available") & F.col("value").isNotNull(), "claim has value while unavailable", field),
+        ((state == "available") & (F.coalesce(F.size("evidence_ids"), F.lit(0)) < 1), "claim lacks evidence ids", field),
     )
     refs = claims.select("org", "field", F.explode("evidence_ids").alias("id"))
-    dangling = refs.join(named.select("org", "id"), ["org", "id"], "left_anti")
-    found.append(_violation(dangling, F.lit(True), "claim references missing evidence", F.concat_ws(":", "field", "id")))
-    return reduce(DataFrame.unionByName, found)
+    dangling = refs.join(counted.filter(~_blank("id")).select("org", "id"), ["org", "id"], "left_anti")
+    of_refs = dangling.select("org", F.lit("claim references missing evidence").alias("rule"), F.concat_ws(":", "field", "id").alias("subject"))
+    return reduce(DataFrame.unionByName, [of_runs, of_ids, of_evidence, of_claims, of_refs])
 
 
 TERMINAL_STATES = (

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import written
 from ..operators import activity, awards, canonical, changes, claims, observations, reports, serving, site_surface
-from ..session import checkpoint
 
 
 @dataclass(frozen=True)
@@ -60,7 +60,7 @@ def company_output(inputs: CompanyInputs, retrieved_at: str, change_url: str, re
     current, evidence = claims.replace_families(current, evidence, steps)
     current, evidence = activity.precision_guard(current, evidence)
     # Facts, briefs and violations all read these two tables: cut the lineage here once.
-    current, evidence = checkpoint(current), checkpoint(evidence)
+    current, evidence = written(current, "claims"), written(evidence, "evidence")
     facts = canonical.project_facts(current)
     return CompanyOutput(
         claims=current,
