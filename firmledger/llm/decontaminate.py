@@ -37,6 +37,7 @@ from .common import cut, word_key
 WINDOW, LITERALS, COVER = 8, 5, 13
 EXACT = 64  # seed that keeps the hashes of plain windows apart
 FILTER_WINDOWS = 5_000_000
+SLICE_TOKENS = 500_000
 # Units that may follow a number.
 UNITS = (
     "mm cm m km inch inches ft feet yard yards mile miles mg g kg lb lbs oz ton tons ml l litre litres liter liters s sec second "
@@ -51,9 +52,8 @@ _BLANK = r"[\s\p{Z}]"
 def tokens(rows: DataFrame) -> DataFrame:
     """Replace ``text`` by ``tokens``: a hash per token whose two low bits name its kind (literal, number, name, unit)."""
     text = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit(_MARK), F.lit(" "))
-    text = F.regexp_replace(text, rf"{_BLANK}{{2,}}", " ")
-    # Begins at white space, so few places are looked at.
-    marked = F.regexp_replace(text, rf"{_BLANK}(?=\p{{Lu}}\p{{Ll}})(?<=[\p{{Ll}}\p{{Nd}},;]{_BLANK})", f" {_MARK}")
+    # Begins at the first white space after a word, so few places are looked at.
+    marked = F.regexp_replace(text, rf"{_BLANK}(?<=[\p{{Ll}}\p{{Nd}},;]{_BLANK}){_BLANK}*+(?=\p{{Lu}}\p{{Ll}})", f" {_MARK}")
     rows = rows.withColumn("_tokens", F.array_remove(F.split(F.lower(marked), rf"[^\p{{L}}\p{{M}}\p{{N}}{_MARK}]+"), ""))
     units = F.array(*map(F.lit, UNITS))
 
@@ -87,6 +87,16 @@ def windows(coded: np.ndarray, sizes: np.ndarray, width: int, seed: int = 0) ->
     return out.view(np.int64)[enough], doc[enough], first[enough]
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``SLICE_TOKENS`` tokens, one document at least: bounds what a step holds at once."""
+    for batch in batches:
+        slices = batch.column(1).offsets.to_numpy() // SLICE_TOKENS
+        edges = [0, *(np.flatnonzero(np.diff(slices[:-1])) + 1).tolist(), batch.num_rows]
+        for start, end in zip(edges[:-1], edges[1:], strict=True):
+            if end > start:
+                yield batch.slice(start, end - start)
+
+
 def matches(rows: DataFrame, widths: list[tuple[bool, int]] | None, known: np.ndarray | None) -> DataFrame:
     """Windows of ``rows(key, tokens)``, of the given kinds and widths; without them, those of benchmark items.
 
@@ -102,7 +112,7 @@ def matches(rows: DataFrame, widths: list[tuple[bool, int]] | None, known: np.nd
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, known = held.value
-        for batch in batches:
+        for batch in sliced(batches):
             lists = batch.column(1)
             coded, sizes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(lists.offsets.to_numpy()).astype(np.int64)
             plain_starts = np.cumsum(sizes) - sizes
