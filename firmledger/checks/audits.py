@@ -301,7 +301,7 @@ def new_observations(spark: SparkSession, d: str) -> DataFrame:
 )
 def reprojection_report(spark: SparkSession, d: str) -> DataFrame:
     rows = observations(spark, d)
-    errors = rows.filter(F.array_contains("reasons", "unsupported signal type"))
+    errors = rows.filter(F.array_contains("reasons", "unknown_signal"))
     return a.reprojection_report(rows, rows, errors)
 
 

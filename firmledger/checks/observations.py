@@ -75,13 +75,13 @@ OBS_SQL = """obs AS (
     CASE WHEN event_type = 'purchase' THEN ['positive', 'neutral', 'negative', 'mixed'][event_id % 4 + 1] END AS label,
     CAST(json_extract_string(props, '$.k') AS BIGINT) AS likes,
     list_filter([
-      CASE WHEN event_id % 5 = 4 THEN 'unsupported platform' END,
-      CASE WHEN event_type = 'error' THEN 'unsupported signal type' END,
-      CASE WHEN event_id % 13 = 0 THEN 'missing content hash' END,
-      CASE WHEN event_id % 17 = 0 THEN 'exact legal entity is not verified' END,
-      CASE WHEN event_id % 11 = 0 THEN 'acquisition mode is not approved for publication' END,
-      CASE WHEN user_id % 9 = 0 THEN 'source rights are not approved' END,
-      CASE WHEN event_id % 19 = 0 AND event_type IN ('purchase', 'view') THEN 'missing evidence span' END], lambda r: r IS NOT NULL) AS reasons
+      CASE WHEN event_id % 5 = 4 THEN 'unknown_platform' END,
+      CASE WHEN event_type = 'error' THEN 'unknown_signal' END,
+      CASE WHEN event_id % 13 = 0 THEN 'no_full_hash' END,
+      CASE WHEN event_id % 17 = 0 THEN 'entity_not_exact' END,
+      CASE WHEN event_id % 11 = 0 THEN 'mode_not_publishable' END,
+      CASE WHEN user_id % 9 = 0 THEN 'rights_not_approved' END,
+      CASE WHEN event_id % 19 = 0 AND event_type IN ('purchase', 'view') THEN 'no_span' END], lambda r: r IS NOT NULL) AS reasons
   FROM events
 ), ok AS (SELECT * FROM obs WHERE len(reasons) = 0)"""
 

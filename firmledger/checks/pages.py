@@ -640,7 +640,7 @@ def unique_pages(spark: SparkSession, d: str) -> DataFrame:
     "A21_site_activity",
     sql=b.with_ctes(
         PAGE_SQL,
-        """SELECT org, 'Exact company site snapshot with 1 bounded pages and 0 verified social links.' AS evidence_span FROM assessed WHERE score >= 0.9""",
+        """SELECT org, 'Site with 1 pages and 0 checked profiles.' AS evidence_span FROM assessed WHERE score >= 0.9""",
     ),
 )
 def site_activity(spark: SparkSession, d: str) -> DataFrame:

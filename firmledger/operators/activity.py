@@ -125,7 +125,7 @@ def strict_job_pages(pages: DataFrame, verified: DataFrame) -> DataFrame:
     once = rows.filter(keep).dropDuplicates(["org", "url"])
     return once.select(
         "org", F.trim("title").alias("title"), "url", "content_sha256", F.col("_seen").alias("retrieved_at"),
-        F.concat(F.trim("title"), F.lit("; explicit apply action present on verified company-owned role detail page")).alias(
+        F.concat(F.trim("title"), F.lit("; the role page has an apply action")).alias(
             "evidence_span"
         ),
     )
@@ -198,8 +198,8 @@ def current_jobs(cards: DataFrame, entities: DataFrame) -> DataFrame:
     return first.select("org", "url", "_row.*").withColumn(
         "evidence_span",
         F.concat(
-            F.col("title"), F.lit("; target employer identified on exact first-party hiring surface; application deadline "),
-            F.col("deadline").cast("string"), F.lit("; role/application URL "), F.col("application_url"),
+            F.col("title"), F.lit("; own position, open until "),
+            F.col("deadline").cast("string"), F.lit("; apply at "), F.col("application_url"),
         ),
     )
 

@@ -45,7 +45,7 @@ def award_evidence_span(org: Column) -> Column:
     parts = (
         F.concat(F.lit("recipient org: "), org),
         labelled("recipient: ", "recipient_name"),
-        labelled("specified recipient org (context only): ", "specified_recipient_org"),
+        labelled("also named: ", "specified_recipient_org"),
         F.concat(F.lit("award date: "), F.coalesce("award_date_text", F.lit(""))),
         F.when(
             F.col("amount_text").isNotNull(),

@@ -204,7 +204,7 @@ def _website_drafts(modules: DataFrame) -> DataFrame:
     final_url = F.coalesce(F.nullif(F.get_json_object(value, "$.final_url"), F.lit("")), F.col("source_url"))
     description = F.trim(F.coalesce(F.get_json_object(value, "$.description"), F.lit("")))
     links = json_member(value, "$.social_links")
-    site_span = F.when(state == "available", F.concat(F.lit("Verified company website: "), final_url)).otherwise(
+    site_span = F.when(state == "available", F.concat(F.lit("Own website: "), final_url)).otherwise(
         F.coalesce(F.nullif(F.col("note"), F.lit("")), F.lit("Website identity not publishable"))
     )
     drafts = F.array(
@@ -216,7 +216,7 @@ def _website_drafts(modules: DataFrame) -> DataFrame:
         ),
         _draft(
             "social_links", links, F.when((state == "available") & links.isNotNull(), F.lit("available")),
-            F.concat(F.lit("Verified social links published on "), final_url), "website", "20|000002", identity_score=score,
+            F.concat(F.lit("Profiles linked from "), final_url), "website", "20|000002", identity_score=score,
         ),
     )
     return rows.select("org", *_RECORD, F.explode(drafts).alias("d")).select("org", *_RECORD, "d.*")
@@ -258,7 +258,7 @@ def _financial_drafts(modules: DataFrame, financials: DataFrame) -> DataFrame:
         )
     unavailable = F.when(state != "available", state).when(F.col("_position").isNull(), F.lit("not_available"))
     empty_span = F.when(
-        state == "available", F.lit("Official annual-accounts endpoint returned no normalized financial records.")
+        state == "available", F.lit("The accounts register answered without a record.")
     )
     drafts.append(_draft("financials", F.lit(None).cast("string"), unavailable, empty_span, "financials", "30|000000"))
     return joined.select("org", *_RECORD, F.explode(F.array(*drafts)).alias("d")).select("org", *_RECORD, "d.*")
@@ -418,7 +418,7 @@ def live_registry_claims(modules: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     span = F.when(
         F.col("value").isNotNull(), F.concat(F.col("path"), F.lit("="), F.col("value"))
-    ).otherwise(F.concat(F.col("path"), F.lit(" not resolved in retained exact-org registry_live response")))
+    ).otherwise(F.concat(F.col("path"), F.lit(" absent from the stored answer")))
     evidence = rows.select(
         "org", "id", "source_url", F.lit("official").alias("source_class"), "retrieved_at", "content_sha256",
         F.col("org").alias("source_row_key"), F.col("path").alias("source_field"), span.alias("claim_span"),
@@ -527,7 +527,7 @@ def registry_workforce(modules: DataFrame) -> DataFrame:
         F.lit("approved").alias("rights_status"),
         F.lit("official_registry_live").alias("source_class"),
         F.concat(
-            F.lit("Official BRREG entity response reports employees="), number, F.lit(" for organisation "), F.col("org"), F.lit(".")
+            F.lit("Entity register: employees="), number, F.lit(", company "), F.col("org"), F.lit(".")
         ).alias("evidence_span"),
         F.col("retrieved_at").alias("effective_at"),
         metrics.alias("metrics"),

@@ -216,7 +216,7 @@ def careers_claims(picked: DataFrame, verified: DataFrame) -> tuple[DataFrame, D
         F.lit("external.careers_page").alias("field"), value.alias("value"), F.lit("available").alias("availability"),
         clamped_score(F.col("score"), 0.95).alias("confidence"), F.array("id").alias("evidence_ids"),
         F.lit("company_site").alias("platform"), F.lit("careers_page").alias("signal_type"),
-        F.lit("Careers surface linked by the verified company home page; no active vacancy is asserted.").alias("claim_scope"),
+        F.lit("Link to a careers page; says nothing about open positions.").alias("claim_scope"),
     )
     evidence = rows.select(
         "org", "id", F.col("final_url").alias("source_url"), F.lit("company_owned").alias("source_class"),
@@ -368,7 +368,7 @@ def handle_observations(handles: DataFrame, entities: DataFrame, verified: DataF
         "content_sha256", F.lit(True).alias("exact_entity"), proof.alias("identity_proof"),
         F.lit("permitted_public_page").alias("acquisition_mode"), F.lit("approved").alias("rights_status"),
         F.lit("company_site").alias("source_class"),
-        F.concat(F.lit("Exact company homepage declares "), F.col("platform"), F.lit(" profile "), F.col("url")).alias("evidence_span"),
+        F.concat(F.lit("Home page names "), F.col("platform"), F.lit(" profile "), F.col("url")).alias("evidence_span"),
         F.col("url").alias("profile_url"), F.create_map(F.lit("identity_score"), score.cast("string")).alias("metrics"), "strategy",
     )
     return conform(observations, OBSERVATION)
@@ -644,8 +644,8 @@ def site_activity(verified: DataFrame, pages: DataFrame, links: DataFrame) -> Da
         F.lit("permitted_public_page").alias("acquisition_mode"), F.lit("approved").alias("rights_status"),
         F.lit("company_site").alias("source_class"),
         F.concat(
-            F.lit("Exact company site snapshot with "), F.col("_pages").cast("string"), F.lit(" bounded pages and "),
-            F.col("_links").cast("string"), F.lit(" verified social links."),
+            F.lit("Site with "), F.col("_pages").cast("string"), F.lit(" pages and "),
+            F.col("_links").cast("string"), F.lit(" checked profiles."),
         ).alias("evidence_span"),
         F.create_map(
             F.lit("bounded_pages_captured"), F.col("_pages").cast("string"), F.lit("verified_social_links"), F.col("_links").cast("string")
