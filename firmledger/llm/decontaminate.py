@@ -19,7 +19,7 @@ benchmark table. That filter is a table of bits built from the benchmark's hashe
 no filter and all windows are joined instead. Template windows with fewer than ``LITERALS`` literal tokens say too little and are left
 out on both sides; such passages are found by their plain windows only, word for word.
 
-Documents are told apart by their word sequence, so copies are joined once. Null or empty texts and items match nothing.
+Documents are told apart by their text, so copies are joined once. Null or empty texts and items match nothing.
 Repeated rows get equal verdicts; repeated items count once; extra columns are ignored; an empty table on either side gives no match.
 """
 
@@ -29,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, word_key
+from .common import cut
 
 WINDOW, LITERALS, COVER = 8, 5, 13
 EXACT = 64  # seed that keeps the hashes of plain windows apart
@@ -49,6 +49,11 @@ _MARK = "\u0001"
 _BLANK = r"[\s\p{Z}]"
 
 
+def _key(text: Column) -> Column:
+    """Key of a text, for copies to be searched once; null where it is null or blank."""
+    return F.when(F.trim(text) != "", F.unhex(F.md5(text)))
+
+
 def tokens(rows: DataFrame) -> DataFrame:
     """Replace ``text`` by ``tokens``: a hash per token whose two low bits name its kind (literal, number, name, unit)."""
     text = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit(_MARK), F.lit(" "))
@@ -269,7 +274,7 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Contaminated word sequences: key, item_ids (array), covered (most tokens of one run)."""
-    texts = docs.select(F.col("text").cast("string").alias("text")).select(word_key("text").alias("key"), "text").where("key IS NOT NULL")
+    texts = docs.select(F.col("text").cast("string").alias("text")).select(_key(F.col("text")).alias("key"), "text").where("key IS NOT NULL")
     asked = item_windows(items)
     widths = [tuple(row) for row in asked.select(F.col("item_plain").isNotNull(), "width").distinct().collect()]  # at most twice WINDOW
     known = None
@@ -287,7 +292,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def benchmark_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document: doc_id, contaminated, item_ids, covered."""
-    rows = docs.select("doc_id", word_key(F.col("text").cast("string")).alias("key"))
+    rows = docs.select("doc_id", _key(F.col("text").cast("string")).alias("key"))
     return rows.join(contaminated(docs, items), "key", "left").select(
         "doc_id",
         F.col("item_ids").isNotNull().alias("contaminated"),
@@ -298,6 +303,6 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Documents without a benchmark leak, with their own columns."""
-    rows = docs.select(F.struct("*").alias("_row"), word_key(F.col("text").cast("string")).alias("_key"))
+    rows = docs.select(F.struct("*").alias("_row"), _key(F.col("text").cast("string")).alias("_key"))
     leaks = contaminated(docs, items).select(F.col("key").alias("_key"))
     return rows.join(leaks, "_key", "left_anti").select("_row.*")
