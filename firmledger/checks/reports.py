@@ -226,21 +226,31 @@ def _activity_sites(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _no_dates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "org string, url string, method string, raw string")
+def _activity_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Dates of the news pages' markup, by company number: a strong one, two strong ones that differ, or a weak one."""
+    kind, number = F.pmod("c_custkey", F.lit(12)), F.col("c_custkey").cast("string")
+    strong = F.struct(F.lit("meta_article_published_time").alias("method"), F.lit("2024-01-20T08:00:00").alias("raw"))
+    other = F.struct(F.lit("jsonld_article_date_published").alias("method"), F.lit("2024-01-21").alias("raw"))
+    weak = F.struct(F.lit("date_labelled_element").alias("method"), F.lit("17.01.2024").alias("raw"))
+    offers = F.when(kind.isin(0, 6), F.array(weak, strong)).when(kind == 3, F.array(strong, other)).when(kind == 1, F.array(weak))
+    url = F.concat(F.lit("https://kunde"), number, F.lit(".no/nyheter/sak-"), number)
+    return b.table(spark, d, "customer").select(b.org_of("c_custkey").alias("org"), url.alias("url"), F.inline(offers))
 
 
 @check(
     "P12_strict_activity",
-    sql="""SELECT CAST(800000000 + c_custkey AS VARCHAR) AS org, 'external.company_update' AS field, concat('https://kunde', c_custkey, '.no/nyheter/sak-', c_custkey) AS url
-        FROM customer WHERE c_custkey % 3 = 0
-      UNION ALL SELECT CAST(800000000 + c_custkey AS VARCHAR), 'external.job_posting', concat('https://kunde', c_custkey, '.no/stillinger/selger-', c_custkey)
+    sql="""SELECT CAST(800000000 + c_custkey AS VARCHAR) AS org, 'external.company_update' AS field, concat('https://kunde', c_custkey, '.no/nyheter/sak-', c_custkey) AS url,
+          CASE c_custkey % 12 WHEN 9 THEN '2024-01-15' WHEN 1 THEN '2024-01-17' ELSE '2024-01-20' END AS published_date
+        FROM customer WHERE c_custkey % 12 IN (0, 1, 6, 9)
+      UNION ALL SELECT CAST(800000000 + c_custkey AS VARCHAR), 'external.job_posting', concat('https://kunde', c_custkey, '.no/stillinger/selger-', c_custkey), NULL
         FROM customer WHERE c_custkey % 2 = 0""",
 )
 def strict_activity(spark: SparkSession, d: str) -> DataFrame:
     pages, sites = _activity_pages(spark, d), _activity_sites(spark, d)
-    claims, _ = act.activity_claims(act.strict_job_pages(pages, sites), act.strict_updates(pages, sites, _no_dates(spark)))
-    return claims.select("org", "field", F.get_json_object("value", "$.url").alias("url"))
+    claims, _ = act.activity_claims(act.strict_job_pages(pages, sites), act.strict_updates(pages, sites, _activity_dates(spark, d)))
+    return claims.select(
+        "org", "field", F.get_json_object("value", "$.url").alias("url"), F.get_json_object("value", "$.published_date").alias("published_date")
+    )
 
 
 @check(
@@ -345,12 +355,12 @@ def guard_replay(spark: SparkSession, d: str) -> DataFrame:
 @check(
     "J18_activity_provenance",
     sql="""SELECT CAST(800000000 + c_custkey AS VARCHAR) AS org, CASE WHEN c_custkey % 2 = 0 THEN 'proof' END AS identity_proof,
-      CASE WHEN c_custkey % 2 = 0 THEN 'verified_same_site_dated_detail_page_v1' END AS extraction_method FROM customer WHERE c_custkey % 3 = 0""",
+      CASE WHEN c_custkey % 2 = 0 THEN 'verified_same_site_dated_detail_page_v1' END AS extraction_method FROM customer WHERE c_custkey % 12 IN (0, 1, 6, 9)""",
 )
 def activity_provenance(spark: SparkSession, d: str) -> DataFrame:
     pages, sites = _activity_pages(spark, d), _activity_sites(spark, d)
     claims, evidence = act.activity_claims(
-        act.strict_job_pages(pages, sites).filter(F.lit(False)), act.strict_updates(pages, sites, _no_dates(spark))
+        act.strict_job_pages(pages, sites).filter(F.lit(False)), act.strict_updates(pages, sites, _activity_dates(spark, d))
     )
     even = F.pmod(F.col("org").cast("bigint"), F.lit(2)) == 0
     site_claims = sites.select(

@@ -93,14 +93,14 @@ def newest_events_stream(spark: SparkSession, d: str) -> DataFrame:
       FROM steps, {_TRIGGERS} WHERE n > 1 AND value IS DISTINCT FROM before""",
 )
 def refresh_stream(spark: SparkSession, d: str) -> DataFrame:
-    folder = _deliver(_events(spark, d), "delivered", repeats=True)
+    folder = _deliver(_events(spark, d), "delivered", late=True, repeats=True)
 
     def job(stream: DataFrame) -> DataFrame:
         observed = stream.select(
             "org", F.col("event_type").alias("field"), F.col("k").alias("value"),
             F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("retrieved_at"),
         )
-        changes = jobs.run_available(jobs.refresh_changes(observed), "refresh")
+        changes = jobs.settled_changes(jobs.run_available(jobs.refresh_changes(observed), "refresh"))
         return changes.select("org", "field", "previous_value", "current_value")
 
     return _both_runs(spark, folder, job)

@@ -6,7 +6,11 @@ read with the last batch of every key. A trigger's size is bounded by the source
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Iterator
+from datetime import datetime, timedelta
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -78,17 +82,20 @@ def newest_events(events: DataFrame, count: int = 3) -> DataFrame:
 
 _CHANGE = T.StructType(
     [T.StructField(name, T.StringType()) for name in ("org", "field", "previous_value", "current_value", "retrieved_at")]
+    + [T.StructField("retracted", T.BooleanType())]
 )
 
 
-def refresh_changes(values: DataFrame) -> DataFrame:
+def refresh_changes(values: DataFrame, horizon: timedelta | None = None) -> DataFrame:
     """A change whenever a value of a (company, field) differs from the one before it in time; equal values are no change.
 
-    ``values``: org, field, value, retrieved_at. Every value is compared with its predecessor, so three values in one batch
-    give the same changes as in three batches. A source delivers the values of a key in the order of time: repeats are
-    harmless, but a value older than the last one seen has no place any more and is passed over, as are values without a
-    time. The first value of a key is no change. Repeats inside an Arrow batch are dropped before the shuffle; the other
-    rows of a key in one trigger are ordered in memory, so the trigger size bounds it.
+    ``values``: org, field, value, retrieved_at (ISO text). The first value of a key is no change; values without a time are passed over.
+    Values may arrive in any order: state holds the seen values of a key in the order of time, and one that falls between two others
+    takes back the change between them (``retracted``) and states the two that replace it. :func:`settled_changes` gives what holds in the end,
+    which is the same however the values were dealt to triggers. Repeats change nothing.
+
+    With a ``horizon``, values older than the newest one by more than that are forgotten but for the last of them, and what arrives
+    before that one is passed over; without it, nothing is ever too late and a key's state grows with its values.
     """
     names = ["org", "field", "value", "retrieved_at"]
     kept_schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
@@ -97,36 +104,45 @@ def refresh_changes(values: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch[names].drop_duplicates()
 
-    def place(row: tuple[str, str | None]) -> tuple[str, bool, str]:
-        return row[0], row[1] is not None, row[1] or ""
+    def changes(places: list[list]) -> Counter:
+        # A place is (time, whether there is a value, value): null comes first among values of one time.
+        return Counter((a[2] if a[1] else None, b[2] if b[1] else None, b[0]) for a, b in pairwise(places) if a[1:] != b[1:])
 
     def update(key: tuple[str, str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = {
-            (seen_at, None if pd.isna(value) else value)
+        new = {
+            (seen_at, not pd.isna(value), "" if pd.isna(value) else value)
             for batch in batches
             for seen_at, value in batch[["retrieved_at", "value"]].itertuples(index=False, name=None)
         }
-        last = tuple(state.get) if state.exists else None
-        changes = []
-        for row in sorted(rows, key=place):
-            if last is not None and place(row) <= place(last):
-                continue
-            if last is not None and row[1] != last[1]:
-                changes.append((*key, last[1], row[1], row[0]))
-            last = row
-        state.update(last)
-        if changes:
-            yield pd.DataFrame(changes, columns=_CHANGE.fieldNames())
+        old = [tuple(place) for place in json.loads(state.get[0])] if state.exists else []
+        forgetful = horizon is not None and state.exists and state.get[1]
+        places = sorted({*old, *(place for place in new if not forgetful or place >= old[0])})
+        before, after = changes(old), changes(places)
+        rows = [(*key, *change, False) for change in (after - before).elements()] + [(*key, *change, True) for change in (before - after).elements()]
+        if horizon is not None and places:
+            least = (datetime.fromisoformat(places[-1][0]) - horizon).isoformat()
+            first = max((k for k, place in enumerate(places) if place[0] < least), default=0)
+            places, forgetful = places[first:], forgetful or first > 0
+        state.update((json.dumps(places), bool(forgetful)))
+        if rows:
+            yield pd.DataFrame(rows, columns=_CHANGE.fieldNames())
 
     return (
         values.select(*names)
         .filter(F.col("retrieved_at").isNotNull())
         .mapInPandas(shrink, kept_schema)
         .groupBy("org", "field")
-        .applyInPandasWithState(update, _CHANGE, "retrieved_at STRING, value STRING", "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(update, _CHANGE, "places STRING, forgetful BOOLEAN", "append", GroupStateTimeout.NoTimeout)
     )
 
 
+def settled_changes(stated: DataFrame) -> DataFrame:
+    """Changes that were stated and not taken back."""
+    kept = [name for name in _CHANGE.fieldNames() if name != "retracted"]
+    counted = stated.groupBy(*kept).agg(F.sum(F.when(F.col("retracted"), -1).otherwise(1)).alias("_n"))
+    return counted.filter(F.col("_n") > 0).select(*kept)
+
+
 # --- T4: crawl ledger --------------------------------------------------------------------------------------
 
 def daily_ledger(events: DataFrame, watermark: str = "1 day") -> DataFrame:
