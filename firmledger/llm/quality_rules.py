@@ -163,7 +163,8 @@ def judged(docs: DataFrame, refs: DataFrame) -> DataFrame:
     word_limit = WORD_DISTANCE[0] + WORD_DISTANCE[1] / F.sqrt(F.col("n_words"))
     char_ok = (F.col("word_chars") < MIN_CHARS) | (F.col("char_distance") <= char_limit)
     word_ok = (F.col("n_words") < MIN_WORDS) | (F.col("word_distance") <= word_limit)
-    return rows.withColumns({"base_failed": failed, "kept": ~failed & char_ok & word_ok})
+    # Behind a stage, so that a filter on the verdict does not work out the counts a second time.
+    return with_stage(rows.withColumn("base_failed", failed), "kept", ~F.col("base_failed") & char_ok & word_ok)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
