@@ -101,7 +101,8 @@ def read_records(files: DataFrame, vocabulary: str, folder: str) -> DataFrame:
 
     ``files`` has one row per file; each file is one unit of work and is read as a stream.
     """
-    return files.select("file").repartition("file").mapInArrow(
+    # An explicit number: one task per file, not as many as the few bytes of these rows ask for.
+    return files.select("file").repartitionByRange(max(1, files.count()), "file").mapInArrow(
         _reader(vocabulary, folder), "doc_id bigint, file bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     )
 

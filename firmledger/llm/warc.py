@@ -176,8 +176,10 @@ def normalise(manifest: DataFrame, revisits: DataFrame, source: str, folder: str
         return pd.DataFrame({"file": [number], "records": [place]})
 
     _make_folder(manifest.sparkSession, folder)
-    files = manifest.select("file").distinct().groupBy("file")
-    return cut(files.cogroup(revisits.groupBy("file")).applyInPandas(rewrite, "file bigint, records bigint"), "archives")
+    files = manifest.select("file").distinct()
+    many = max(1, files.count())  # an explicit number: tasks by files, not by the few bytes of their rows
+    files = files.repartition(many, "file").groupBy("file")
+    return cut(files.cogroup(revisits.repartition(many, "file").groupBy("file")).applyInPandas(rewrite, "file bigint, records bigint"), "archives")
 
 
 def read_member(records, offset: int, length: int) -> tuple[dict[str, str], bytes]:
@@ -216,7 +218,8 @@ def read_back(archives: DataFrame, folder: str) -> DataFrame:
                 yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string"
-    return archives.select("file").repartition("file").mapInPandas(read, schema)
+    files = archives.select("file")
+    return files.repartitionByRange(max(1, files.count()), "file").mapInPandas(read, schema)
 
 
 def warc_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
