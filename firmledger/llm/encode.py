@@ -11,11 +11,16 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces the memo of one Python worker holds; at this number it starts anew. Bounds memory, never changes ids.
 MEMO_PIECES = 800_000
+#: Bytes of text that ``Encoder.each`` takes apart at once.
+SLICE_BYTES = 1 << 23
 
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _ODD_SPACE = re.compile("  |[\n] |[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]| $")
@@ -111,6 +116,49 @@ class Encoder:
         pieces = text.split(" ")
         return self.at_start[pieces[0]] + b"".join(map(self.after_space.__getitem__, pieces[1:]))
 
+    def each(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of every text of an Arrow column in order, as ``encode`` gives them; a null is an empty text.
+
+        Works on slices of bounded size (a longer text is a slice of its own): the distinct pieces of a slice are looked up once
+        and the ids of the texts are gathered from the table of pieces.
+        """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(texts):
+            limit = (ends[start - 1] if start else 0) + SLICE_BYTES
+            stop = max(start + 1, int(np.searchsorted(ends, limit, "right")))
+            yield from self._slice(texts.slice(start, stop - start))
+            start = stop
+
+    def _slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        if self.drops_space:
+            yield from (np.frombuffer(self.encode(text), "<u4") for text in texts.to_pylist())
+            return
+        whole = pc.match_substring_regex(texts, _ODD_SPACE.pattern)
+        if self.added.pattern != "(?!)":
+            whole = pc.or_(whole, pc.match_substring_regex(texts, self.added.pattern, ignore_case=True))
+        lists = pc.split_pattern(texts.filter(pc.invert(whole)), " ")
+        bounds = lists.offsets.to_numpy()
+        pieces = lists.flatten()
+        firsts = pieces.take(pa.array(bounds[:-1])).to_pylist()
+        coded = pieces.dictionary_encode()
+        codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        codes[bounds[:-1]] = len(distinct) + np.arange(len(firsts))
+        found = [*map(self.after_space.__getitem__, distinct), *map(self.at_start.__getitem__, firsts)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        many = sizes[codes]
+        ends = np.cumsum(many)
+        ids = ids[np.repeat(starts[codes] - ends + many, many) + np.arange(int(many.sum()))]
+        bounds, row = np.append(0, ends)[bounds], 0
+        for alone, text in zip(whole.to_pylist(), texts, strict=True):
+            if alone:
+                yield np.frombuffer(self.whole(text.as_py()), "<u4")
+            else:
+                yield ids[bounds[row] : bounds[row + 1]]
+                row += 1
+
 
 def vocabulary(name: str) -> str:
     """Place of a public vocabulary file; the files are never copied."""

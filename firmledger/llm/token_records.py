@@ -79,12 +79,11 @@ def write_records(docs: DataFrame, vocabulary: str, end_id: int, folder: str) ->
         with whole_file(system, f"{path}.rec") as out, whole_file(system, f"{path}.idx") as index:
             batch = first
             while batch is not None:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    ids = np.frombuffer(encoder.encode(text.as_py()) + struct.pack("<I", end_id), "<u4")
-                    body = ids.astype(type_code).tobytes()
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.each(batch.column(1)), strict=True):
+                    body = np.append(ids, np.uint32(end_id)).astype(type_code).tobytes()
                     out.write(frame(body))
                     index.write(struct.pack(_ENTRY, offset, len(body), doc_id or 0, doc_id is None))
-                    offset, docs_done, tokens = offset + len(body) + 16, docs_done + 1, tokens + len(ids)
+                    offset, docs_done, tokens = offset + len(body) + 16, docs_done + 1, tokens + len(ids) + 1
                 batch = next(batches, None)
         yield pa.RecordBatch.from_pydict({"file": [number], "n_docs": [docs_done], "n_tokens": [tokens]})
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from firmledger.llm import packing, token_histogram, token_records
+from firmledger.llm import encode, packing, token_histogram, token_records
 from firmledger.llm.encode import Encoder, vocabulary
 
 BYTE, WORD = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
@@ -37,3 +39,18 @@ def test_records_histogram_and_packing_count_added_tokens(spark):
     for number, text in enumerate(MARKED):
         ids = np.array([*words.encode(text, add_special_tokens=False).ids, 1], "<u4")
         assert pieces[number] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_slices_equal_the_library():
+    rng, pieces = random.Random(5), ["the", "The,", "|", "a.\nb", "é", "日本", "don't", "x  y", "\t", "<|endoftext|>", "12.5", "...", "\n\n", "", "und", "END!!"]
+    texts = [None, "", " ", "\n", "end ", "x \n", "a" * 5000, *(" ".join(rng.choices(pieces, k=rng.randint(0, 30))) for _ in range(400))]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encoder = encode.Encoder(encode.vocabulary(name))
+        for slice_bytes in (1, 300, 1 << 23):
+            encode.SLICE_BYTES, before = slice_bytes, encode.SLICE_BYTES
+            try:
+                got = [ids.tobytes() for ids in encoder.each(pa.array(texts, pa.string()))]
+            finally:
+                encode.SLICE_BYTES = before
+            assert got == [encoder.whole(text or "") for text in texts]
+    assert list(encoder.each(pa.array([], pa.string()))) == []
