@@ -23,6 +23,7 @@ MEMO_PIECES = 800_000
 SLICE_BYTES = 1 << 23
 
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_NAMED_PLAIN = "^" + _PLAIN.pattern.replace("(", "(?P<word>", 1).replace("+)(", "+)(?P<signs>", 1) + "$"
 _ODD_SPACE = re.compile("  |[\n] |[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]| $")
 
 
@@ -143,9 +144,17 @@ class Encoder:
         pieces = lists.flatten()
         firsts = pieces.take(pa.array(bounds[:-1])).to_pylist()
         coded = pieces.dictionary_encode()
-        codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         codes[bounds[:-1]] = len(distinct) + np.arange(len(firsts))
-        found = [*map(self.after_space.__getitem__, distinct), *map(self.at_start.__getitem__, firsts)]
+        plain = pc.extract_regex(distinct, _NAMED_PLAIN)
+        spaced = pc.binary_join_element_wise(" ", pc.struct_field(plain, "word"), "")
+        rest = iter(distinct.filter(pc.is_null(spaced)).to_pylist())
+        word, other = self.words, self.after_space
+        found = [
+            (word[key] + word[signs] if signs else word[key]) if key else other[next(rest)]
+            for key, signs in zip(spaced.to_pylist(), pc.struct_field(plain, "signs").to_pylist(), strict=True)
+        ]
+        found += map(self.at_start.__getitem__, firsts)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ids, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
         many = sizes[codes]
