@@ -65,12 +65,17 @@ def _places(spark: SparkSession, d: str) -> DataFrame:
     "J11_place_scores",
     sql=b.with_ctes(
         b.ENTITY_SQL,
-        """SELECT org, 'right' AS kind, k % 3 IN (0, 1) AS accepted, round_even(4 + CASE k % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 0 END + 0.4, 4) AS score FROM entity""",
+        """listed AS (SELECT org, k, length(CAST(k + 100000 AS VARCHAR)) AS n, unnest(['right', 'other', 'twin']) AS kind FROM entity)
+        SELECT org, concat(kind, '-', org) AS place_id, kind <> 'other' AND k % 3 IN (0, 1) AS accepted,
+          CASE WHEN kind = 'other' THEN round_even(4 * (1.0 / 3) + log10(5) / 5, 4) ELSE round_even(4 + CASE k % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 0 END + 0.4, 4) END AS score,
+          -- of 'kunde N handel' and 'butikk N' the blocks ' N' and 'k' are common
+          CASE WHEN kind = 'other' THEN round_even(2.0 * (n + 2) / (20 + 2 * n), 4) ELSE 1.0 END AS fuzzy_score
+        FROM listed WHERE kind <> 'twin' OR k % 10 = 0""",
     ),
 )
 def place_scores(spark: SparkSession, d: str) -> DataFrame:
-    scored = m.score_places(_place_entities(spark, d), _places(spark, d))
-    return scored.filter(F.startswith("place_id", F.lit("right"))).select("org", F.lit("right").alias("kind"), "accepted", "score")
+    """Scores of all listings: right ones, lookalikes and doubled ones."""
+    return m.score_places(_place_entities(spark, d), _places(spark, d)).select("org", "place_id", "accepted", "score", "fuzzy_score")
 
 
 @check(

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.ids import canonical_hash, material_id
 from ..functions.orgnum import digits
+from ..functions.staging import bound, with_stage
 from ..functions.text import fold, norwegian_phone, squash_lower, tokens
 from ..functions.values import review_label
 from ..functions.web import bare_host
@@ -78,12 +75,67 @@ def news_observations(mentions: DataFrame, headlines: DataFrame, key: str, per_c
 
 # --- J11, W9: place listings -------------------------------------------------------------------------------
 
-@F.pandas_udf(T.DoubleType())
-def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Matching-block ratio of two short names; Spark has no such built-in."""
-    return pd.Series(
-        [difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right, strict=True)], dtype="float64"
-    )
+def _longest_block(left: Column, right: Column) -> Column:
+    """Longest common block of two texts, the first in ``left`` where several are as long: struct with size and place."""
+
+    def step(s: Column, _: Column) -> Column:
+        grows = F.contains(right, F.substr(left, s.at, s.size + 1))
+        return F.when(grows, F.struct(s.at.alias("at"), (s.size + 1).alias("size"), s.at.alias("place"))).otherwise(
+            F.struct((s.at + 1).alias("at"), s.size.alias("size"), s.place.alias("place"))
+        )
+
+    # Each step moves the end of the probe by one character, so as many steps as characters see every block that is longer.
+    start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("size"), F.lit(1).alias("place"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(left)), start, step)
+
+
+def similarity(left: Column, right: Column) -> Column:
+    """Matching-block ratio of two names: twice the characters in common blocks over all characters; 0 for null or empty names.
+
+    The longest common block is taken, then those of what lies left of it in both names and of what lies right of it, and so on;
+    the first of equally long blocks counts. No character is passed over as too frequent, however long the names are.
+    """
+    pair = F.struct(left.alias("a"), right.alias("b"))
+
+    def part(open_: Column, p: Column, block: Column, matched: Column) -> Column:
+        place = F.position(F.substr(p.a, block.place, block.size), p.b)
+        return bound(
+            place,
+            lambda at: F.struct(
+                F.concat(
+                    open_,
+                    F.filter(
+                        F.array(
+                            F.struct(F.substr(p.a, F.lit(1), block.place - 1).alias("a"), F.substr(p.b, F.lit(1), at - 1).alias("b")),
+                            F.struct(F.substr(p.a, block.place + block.size).alias("a"), F.substr(p.b, at + block.size).alias("b")),
+                        ),
+                        lambda side: (side.a != "") & (side.b != ""),
+                    ),
+                ).alias("open"),
+                (matched + block.size).alias("matched"),
+            ),
+        )
+
+    def step(state: Column, _: Column) -> Column:
+        last = F.element_at(state.open, -1)
+        rest = F.slice(state.open, 1, F.size(state.open) - 1)
+        found = bound(
+            last,
+            lambda p: bound(
+                _longest_block(p.a, p.b),
+                lambda block: F.when(block.size == 0, F.struct(rest.alias("open"), state.matched.alias("matched"))).otherwise(
+                    part(rest, p, block, state.matched)
+                ),
+            ),
+        )
+        return F.when(F.size(state.open) == 0, state).otherwise(found)
+
+    # A block leaves at most two pairs and takes at least one character of both names, which bounds the number of steps.
+    steps = F.sequence(F.lit(1), 2 * F.least(F.length(left), F.length(right)) + 1)
+    start = F.struct(F.array(pair).alias("open"), F.lit(0).alias("matched"))
+    matched = F.aggregate(steps, start, step, lambda state: state.matched)
+    ratio = 2.0 * matched / (F.length(left) + F.length(right))
+    return F.when((left != "") & (right != ""), ratio).otherwise(F.lit(0.0))
 
 
 def place_name_tokens(value: Column) -> Column:
@@ -130,9 +182,9 @@ def score_places(entities: DataFrame, places: DataFrame) -> DataFrame:
     rows = rows.withColumn("town_match", F.coalesce(town_match, F.lit(False))).withColumn(
         "phone_match", F.coalesce(phone_match, F.lit(False))
     )
-    rows = rows.withColumn("site_match", F.coalesce(site_match, F.lit(False))).withColumn(
-        "fuzzy_score", similarity(F.array_join("_target", " "), F.array_join("_title", " "))
-    )
+    rows = rows.withColumn("site_match", F.coalesce(site_match, F.lit(False)))
+    rows = with_stage(rows, "_names", F.struct(F.array_join("_target", " ").alias("own"), F.array_join("_title", " ").alias("listed")))
+    rows = with_stage(rows, "fuzzy_score", similarity(F.col("_names.own"), F.col("_names.listed")))
     channels = (
         (F.col("address_match") | F.col("town_match")).cast("int") + F.col("phone_match").cast("int") + F.col("site_match").cast("int")
     )

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import difflib
+import random
+
 from pyspark.sql import functions as F
 
 from firmledger.checks import bindings as b
 from firmledger.checks.awards import targets
 from firmledger.operators import awards, cohorts
 from firmledger.operators.claims import replace_managed
+from firmledger.operators.matching import similarity
 from firmledger.operators.awards import AWARD_FIELD
 from firmledger.sources.awards import normalize_award_rows
 
@@ -42,3 +46,15 @@ def test_award_projection_is_idempotent(spark):
     once = replace_managed(*pair, managed, *pair)
     twice = replace_managed(*once, managed, *pair)
     assert same(once[0], twice[0]) and same(once[1], twice[1]) and same(once[0], pair[0])
+
+
+def test_name_similarity_equals_matching_blocks(spark):
+    """Against the standard library's ratio on names below the length from which it passes over frequent characters."""
+    rng = random.Random(11)
+    names = [None, "", "a", "kunde 100001 handel", "butikk 100001", "æøå as", *("".join(rng.choices("abc d", k=rng.randint(1, 40))) for _ in range(60))]
+    pairs = [(n, x, y) for n, (x, y) in enumerate((x, y) for x in names[:12] for y in names)] + [(10_000, "x" * 150, "yx" * 80)]
+    rows = spark.createDataFrame(pairs, "n int, x string, y string").select("x", "y", similarity(F.col("x"), F.col("y")).alias("got")).collect()
+    assert len(rows) == len(pairs)
+    for r in rows:
+        want = difflib.SequenceMatcher(None, r.x, r.y, autojunk=False).ratio() if r.x and r.y else 0.0
+        assert abs(r.got - want) < 1e-12, (r.x, r.y)
