@@ -652,13 +652,12 @@ def site_activity(spark: SparkSession, d: str) -> DataFrame:
     "A21_site_news",
     sql=b.with_ctes(
         PAGE_SQL,
-        """SELECT org, concat(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*'), '/nyheter/2024/sak') AS source_url FROM assessed WHERE score >= 0.9 AND k % 4 = 0""",
+        """SELECT org, concat(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*'), '/nyheter/2024/sak') AS source_url FROM assessed WHERE score >= 0.9""",
     ),
 )
 def site_news(spark: SparkSession, d: str) -> DataFrame:
-    number = F.col("org").cast("bigint") - b.PAGE_ORG_BASE
     origin = F.regexp_extract("final_url", "^[a-zA-Z]+://[^/?#]*", 0)
-    news = events(spark, d).filter((F.col("status") == "available") & (F.pmod(number, F.lit(4)) == 0)).select(
+    news = events(spark, d).filter(F.col("status") == "available").select(
         "org", F.explode(F.array(F.concat(origin, F.lit("/nyheter")), F.concat(origin, F.lit("/nyheter/2024/sak")), origin)).alias("final_url"),
         "title", "content_sha256",
     )
