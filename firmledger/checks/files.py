@@ -124,5 +124,5 @@ def news_observations(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("https://avis.no/"), F.col("doc_id").cast("string")).alias("link"), F.lit(b.RETRIEVED_AT).alias("retrieved_at"), F.col("doc_id").alias("position"),
     )
     names = part.select(F.col("p_partkey").cast("string").alias("org"), F.col("p_name").alias("name"))
-    found = m.headline_mentions(names, headlines, "doc_id", "title")
-    return m.news_observations(found, headlines, "doc_id", per_company=2).select("org", "source_url")
+    found, members = m.name_mentions(names, headlines, "doc_id", "title")
+    return m.news_observations(found, members, headlines, "doc_id", per_company=2).select("org", "source_url")
