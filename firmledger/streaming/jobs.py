@@ -8,17 +8,18 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 from itertools import pairwise
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.staging import bound
 from ..session import fresh_folder
 
 
@@ -31,51 +32,17 @@ def deduplicated_events(events: DataFrame, tolerance: str = "1 day") -> DataFram
 
 # --- T2: newest events per company --------------------------------------------------------------------
 
-_NEWEST = T.StructType(
-    [T.StructField(name, T.StringType()) for name in ("org", "event_id", "effective_at", "summary")]
-)
-
-
-_NEWEST_ORDER = ["effective_at", "event_id", "summary"]
-
-
-def _newest(frame: pd.DataFrame, count: int) -> pd.DataFrame:
-    """Newest events per company; an event that was delivered again counts once, in its newest form."""
-    ordered = frame.sort_values(_NEWEST_ORDER, ascending=False).drop_duplicates(["org", "event_id"])
-    return ordered.groupby("org", sort=False, dropna=False).head(count)
-
-
 def newest_events(events: DataFrame, count: int = 3) -> DataFrame:
-    """The newest events of each company that got a new one, in update mode.
+    """The newest events of each company in a table or in one micro-batch; an event that was delivered again counts once, in its newest form.
 
-    Before the shuffle every Arrow batch keeps the newest events per company only, so a company with a third of all
-    events sends a few rows per batch. The state of a company is at most ``count`` events. The output of a company
-    replaces its earlier output: read it with ``run_available(..., keys=["org"])``.
+    The newest of all rows are the newest among those of their parts, so a trigger keeps its own only and
+    ``run_available(..., each=newest_events)`` takes the newest of what the triggers wrote. A company with a third of all events
+    sends ``count`` rows per task to the ranking.
     """
-    names = _NEWEST.fieldNames()
-
-    def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield _newest(batch[names], count)
-
-    def update(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = [tuple(row) for row in state.get[0]] if state.exists else []
-        kept = pd.DataFrame(before, columns=names[1:], dtype=object).assign(org=key[0])[names]
-        for batch in batches:
-            kept = _newest(pd.concat([kept, batch[names]]), count)
-        kept = kept.astype(object).where(kept.notna(), None)
-        after = [tuple(row) for row in kept[names[1:]].itertuples(index=False)]
-        if after != before:
-            state.update((after,))
-            yield kept
-
-    state_schema = "rows ARRAY<STRUCT<event_id: STRING, effective_at: STRING, summary: STRING>>"
-    return (
-        events.select(*names)
-        .mapInPandas(shrink, _NEWEST)
-        .groupBy("org")
-        .applyInPandasWithState(update, _NEWEST, state_schema, "update", GroupStateTimeout.NoTimeout)
-    )
+    latest = events.groupBy("org", "event_id").agg(F.max(F.struct("effective_at", "summary")).alias("_latest"))
+    rows = latest.select("org", "event_id", "_latest.*")
+    rank = F.row_number().over(Window.partitionBy("org").orderBy(F.desc("effective_at"), F.desc("event_id")))
+    return rows.withColumn("_rank", rank).filter(F.col("_rank") <= count).drop("_rank")
 
 
 # --- T3: refresh diff -----------------------------------------------------------------------------------
@@ -136,6 +103,26 @@ def refresh_changes(values: DataFrame, horizon: timedelta | None = None) -> Data
     )
 
 
+def refresh_histories(values: DataFrame) -> DataFrame:
+    """The changes of :func:`refresh_changes` without a horizon, in update mode: org, field, changes.
+
+    A (company, field) that got a value states all its changes anew; they replace its earlier ones, so nothing is taken back. State
+    is the set of seen values of a key, kept by the engine's own aggregation: no key costs a call of Python.
+    Read it with ``run_available(..., keys=["org", "field"])`` and take the changes apart afterwards.
+    """
+    place = F.struct("retrieved_at", F.col("value").isNotNull().alias("given"), "value")
+    seen = values.filter(F.col("retrieved_at").isNotNull()).groupBy("org", "field").agg(F.sort_array(F.collect_set(place)).alias("places"))
+
+    def changes(places: Column) -> Column:
+        steps = F.zip_with(
+            F.slice(places, F.lit(1), F.size(places) - 1), F.slice(places, F.lit(2), F.size(places) - 1),
+            lambda a, b: F.struct(a.value.alias("previous_value"), b.value.alias("current_value"), b.retrieved_at.alias("retrieved_at")),
+        )
+        return F.filter(steps, lambda step: ~step.previous_value.eqNullSafe(step.current_value))
+
+    return seen.select("org", "field", bound(F.col("places"), changes).alias("changes"))
+
+
 def settled_changes(stated: DataFrame) -> DataFrame:
     """Changes that were stated and not taken back."""
     kept = [name for name in _CHANGE.fieldNames() if name != "retracted"]
@@ -160,11 +147,14 @@ def daily_ledger(events: DataFrame, watermark: str = "1 day") -> DataFrame:
 
 # --- running ------------------------------------------------------------------------------------------------
 
-def run_available(stream: DataFrame, label: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+def run_available(
+    stream: DataFrame, label: str, mode: str = "append", keys: list[str] | None = None, each: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Run a stream over what is there and return what it wrote.
 
     Output and checkpoint lie in the shared folder. Results are written per batch under the batch id, so a batch that runs
     again after a failure overwrites itself. In update mode a later batch replaces the rows of its ``keys``.
+    ``each`` reduces every batch to rows of the same columns and, in the end, the rows of all batches together.
     """
     if mode != "append" and not keys:
         raise ValueError("update mode needs the keys whose rows a later batch replaces")
@@ -173,7 +163,8 @@ def run_available(stream: DataFrame, label: str, mode: str = "append", keys: lis
     output, state = f"{folder}/out", f"{folder}/state"
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        kept = each(rows) if each else rows
+        kept.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     write(spark.createDataFrame([], stream.schema), -1)  # a source without rows has an empty result
     writer = stream.writeStream.foreachBatch(write).outputMode(mode)
@@ -183,4 +174,5 @@ def run_available(stream: DataFrame, label: str, mode: str = "append", keys: lis
     if mode != "append":
         last = F.max("batch").over(Window.partitionBy(*keys))
         rows = rows.withColumn("_last", last).filter(F.col("batch") == F.col("_last")).drop("_last")
-    return rows.drop("batch")
+    rows = rows.drop("batch")
+    return each(rows) if each else rows
