@@ -25,9 +25,12 @@ def org_check_digit(spark: SparkSession, d: str) -> DataFrame:
     return b.table(spark, d, "customer").select(org.alias("org"), orgnum.has_valid_check_digit(org).alias("valid"))
 
 
-_NUMBERS_SQL = """hits AS (
-  SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text,
-    '(?i)(?:^|[^0-9])(?:NO\\s*)?([0-9]{3}[\\s.\\-]?[0-9]{3}[\\s.\\-]?[0-9]{3})(?:[^0-9]|$)', 1)), '[^0-9]', '', 'g') AS number
+# Every run of digits gets a mark of its own on both sides, so two numbers may share the one character between them: the query looks at
+# what surrounds a number without taking it, which this dialect's patterns cannot. The white space is that of the query.
+_NUMBERS_SQL = r"""hits AS (
+  SELECT doc_id, regexp_replace(unnest(regexp_extract_all(regexp_replace(text, '([0-9]+)', concat(chr(1), '\1', chr(2)), 'g'),
+    '\x01([0-9]{3}(?:\x02[ \t\n\x0B\f\r\x{00A0}\x{2007}\x{202F}.\-]\x01)?[0-9]{3}(?:\x02[ \t\n\x0B\f\r\x{00A0}\x{2007}\x{202F}.\-]\x01)?[0-9]{3})\x02', 1)),
+    '[^0-9]', '', 'g') AS number
   FROM documents
 )"""
 
