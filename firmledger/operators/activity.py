@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import json_text, json_value, material_id
+from ..functions.staging import with_stage
 from ..functions.text import all_text_dates, first_text_date, parse_deadline, specific_title, squash, squash_lower, word_count
 from ..functions.web import detail_page, is_http, non_root_page, same_site
 from ..model import CLAIM, EVIDENCE, conform
-from .claims import evidence_refs
 from .site_surface import (
     CAREERS_ANCHOR_TERMS,
     CAREERS_PATH_TERMS,
     NON_ACTIVITY_SEGMENTS,
     decoded_path,
-    phrase_rank,
+    has_phrase,
 )
 
 # Fixed values of the job and update rules.
@@ -323,14 +323,15 @@ def precision_guard(claims: DataFrame, evidence: DataFrame) -> tuple[DataFrame,
 
     Kept claims and evidence are never changed; evidence that was referenced by nobody stays.
     """
-    url = F.coalesce(F.trim(F.get_json_object("value", "$.url")), F.lit(""))
-    segments = F.filter(F.transform(F.split(decoded_path(url), "/"), lambda item: F.trim(item)), lambda part: part != "")
+    # Each value is read once; rule ladders would otherwise copy its parsing into every branch.
+    judged_field = F.col("field").isin(CAREERS_FIELD, UPDATE_FIELD)
+    rows = with_stage(claims, "_url", F.when(judged_field, F.coalesce(F.trim(F.get_json_object("value", "$.url")), F.lit(""))))
+    rows = with_stage(rows, "_path", F.when(judged_field, decoded_path(F.col("_url"))))
+    url = F.col("_url")
+    segments = F.filter(F.transform(F.split("_path", "/"), lambda item: F.trim(item)), lambda part: part != "")
     outside = F.exists(segments, lambda part: part.isin(*NON_ACTIVITY_SEGMENTS))
-    anchor = squash(F.get_json_object("value", "$.anchor_text"))
-    path_words = F.regexp_replace(decoded_path(url), r"[-_/]+", " ")
-    marked = phrase_rank(path_words, CAREERS_PATH_TERMS).isNotNull() | (
-        (anchor != "") & phrase_rank(anchor, CAREERS_ANCHOR_TERMS).isNotNull()
-    )
+    anchor = F.get_json_object("value", "$.anchor_text")
+    marked = has_phrase(F.regexp_replace("_path", r"[-_/]+", " "), CAREERS_PATH_TERMS) | has_phrase(anchor, CAREERS_ANCHOR_TERMS)
     careers_ok = is_http(url) & ~outside & marked
 
     # The newest retrieval day of all evidence of a claim; one unusable reference makes the claim unusable.
@@ -339,20 +340,17 @@ def precision_guard(claims: DataFrame, evidence: DataFrame) -> tuple[DataFrame,
     seen = refs.join(evidence.select("org", "id", retrieval_day(F.col("retrieved_at")).alias("_day")), ["org", "id"], "left")
     days = seen.groupBy("org", "claim_order").agg(F.max("_day").alias("_latest"), F.bool_and(F.col("_day").isNotNull()).alias("_complete"))
     title = F.regexp_replace(squash_lower(F.get_json_object("value", "$.title")), r"^[ .!?:;\-]+|[ .!?:;\-]+$", "")
-    published = iso_day(F.trim(F.get_json_object("value", "$.published_date")))
-    update_ok = (
-        (title != "") & ~title.isin(*PLACEHOLDER_TITLES) & is_http(url) & ~outside & F.col("_complete") & (published <= F.col("_latest"))
-    )
-    rows = claims.join(days, ["org", "claim_order"], "left")
-    keep = (
-        F.when(F.col("field") == CAREERS_FIELD, careers_ok)
-        .when(F.col("field") == UPDATE_FIELD, update_ok)
-        .otherwise(F.lit(True))
-    )
-    judged = rows.withColumn("_keep", F.coalesce(keep, F.lit(False)))
+    update_ok = is_http(url) & (title != "") & ~title.isin(*PLACEHOLDER_TITLES) & ~outside
+    own = F.when(F.col("field") == CAREERS_FIELD, careers_ok).when(F.col("field") == UPDATE_FIELD, update_ok).otherwise(F.lit(True))
+    rows = with_stage(rows, "_own", F.coalesce(own, F.lit(False)))
+    rows = with_stage(rows, "_published", F.when((F.col("field") == UPDATE_FIELD) & F.col("_own"), F.trim(F.get_json_object("value", "$.published_date"))))
+    rows = rows.select(*claims.columns, "_own", iso_day(F.col("_published")).alias("_published")).join(days, ["org", "claim_order"], "left")
+    in_time = (F.col("field") != UPDATE_FIELD) | (F.col("_complete") & (F.col("_published") <= F.col("_latest")))
+    judged = rows.withColumn("_keep", F.col("_own") & F.coalesce(in_time, F.col("field").isNull()))
     kept = judged.filter("_keep").select(*claims.columns)
-    dropped = judged.filter(~F.col("_keep")).select(*claims.columns)
-    orphaned = evidence_refs(dropped).join(evidence_refs(kept), ["org", "id"], "left_anti")
+    # Evidence of dropped claims that no kept claim points to, in one pass over all references.
+    refs = judged.select("org", F.explode("evidence_ids").alias("id"), "_keep")
+    orphaned = refs.groupBy("org", "id").agg(F.bool_or("_keep").alias("_held")).filter(~F.col("_held"))
     return kept, evidence.join(orphaned, ["org", "id"], "left_anti").select(*evidence.columns)
 
 
