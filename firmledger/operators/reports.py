@@ -225,10 +225,20 @@ def _proof(*pairs: tuple[str, Column]) -> Column:
     return F.array(*[F.create_map(F.lit("type"), F.lit(kind), F.lit("value"), value) for kind, value in pairs])
 
 
+def holds_number(text: Column, number: Column) -> Column:
+    """A text writes a number: its digits in order with at most three signs or blanks between two of them, and no digit next to them.
+
+    Digits of separate numbers, or with words between them, do not make one.
+    """
+    spread = F.regexp_replace(number, "(?<=[0-9])(?=[0-9])", r"[^0-9\\p{L}]{0,3}")
+    # Most texts without the number are done after the plain search.
+    return F.contains(digits(text), number) & F.regexp_like(text, F.concat(F.lit("(?<![0-9])"), spread, F.lit("(?![0-9])")))
+
+
 def _own_reports(reports: DataFrame) -> DataFrame:
     """Reports whose text holds the target number, with a full hash."""
     return reports.filter(
-        F.col("org").rlike("^[0-9]{9}$") & F.contains(digits(F.col("text")), F.col("org"))
+        F.col("org").rlike("^[0-9]{9}$") & holds_number(F.col("text"), F.col("org"))
         & (F.length(F.coalesce("content_sha256", F.lit(""))) == 64)
     )
 
